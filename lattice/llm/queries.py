@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import dropout, langid, licenses, merkle, mixing, tokencount, topk, warc
+from lattice.llm import dropout, extraction, langid, licenses, merkle, mixing, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark, _table(spark, sf_dir, "pages"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(spark, vectors, F.col("vec_id") % 100 == 0, 10)
@@ -55,6 +59,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_sentencepiece, op4_language_id, op5_token_counts, op7_mixing, op9_top_k, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_sentencepiece, op4_language_id, op5_token_counts, op7_mixing, op8_main_text, op9_top_k, op10_licenses)}
 
 ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op9_top_k": topk.ORACLE}
