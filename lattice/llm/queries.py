@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm import dropout, extraction, langid, licenses, merkle, mixing, tokencount, topk, warc
+from lattice.llm import dropout, extraction, langid, licenses, merkle, mixing, ngram_join, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(spark, _table(spark, sf_dir, "documents"), size=5, threshold=Fraction(4, 5))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, _table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, _table(spark, sf_dir, "documents"), threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_sentencepiece, op4_language_id, op5_token_counts, op7_mixing, op8_main_text, op9_top_k, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_warc, op3_sentencepiece, op4_language_id, op5_token_counts, op6_ngram_join, op7_mixing, op8_main_text, op9_top_k, op10_licenses)}
 
-ORACLES = {"op2_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op9_top_k": topk.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op7_mixing": mixing.ORACLE, "op9_top_k": topk.ORACLE}
