@@ -102,8 +102,6 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     total = labelled.select(lang).where(F.col(lang).isNotNull()).count()
     share = F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
     chosen = [(r[0], r[1]) for r in rows.where(share).limit(2 * sample).collect()]
-    if not chosen:
-        raise ValueError("no labelled rows to fit on")
     return TextModel.fit(sorted(chosen))
 
 
@@ -135,6 +133,10 @@ def identify(spark: SparkSession, rows: DataFrame, model: TextModel) -> DataFram
     import pyarrow as pa
 
     ship(spark)
+    if not model.langs:  # nothing is known about any language, so nothing speaks against a text
+        named = [c for c in rows.columns if c not in ("text", "domain", "suffix")]
+        und = F.lit("und")
+        return rows.select(*named).select("*", und.alias("text_lang"), und.alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("accepted"))
     evidence = ["text", "host", "domain", "suffix", "declared"]
     keys = [c for c in rows.columns if c not in evidence]
     langs, m = model.langs, len(model.langs)
