@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and clauses.
 
 A text is cut, without losing a character, into sections (ended by a blank line), paragraphs (lines) and
-clauses (ended by punctuation; runs without any are cut every 80 characters). A clause's leaf is a short
+clauses (ended by punctuation, or after four words). A clause's leaf is a short
 hash and its length; a paragraph's digest covers its clauses, a section's its paragraphs and the root's
 its sections, with a prefix for each level. Equal roots mean equal texts; where roots differ, only
 branches with unequal digests need a look to find the edit.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lattice.llm.common import columns_only, rows_out, ship, text_of, width
 
-_CLAUSE = re.compile(r"[^.!?,;:|\n]{0,80}(?:[.!?,;:|]+[^\S\n]*\n?|\n)|[^.!?,;:|\n]{1,80}")
+_CLAUSE = re.compile(r"(?:[^\s.!?,;:|]{1,24}[^\S\n]*){1,4}(?:[.!?,;:|]+[^\S\n]*)?\n?|[.!?,;:|]+[^\S\n]*\n?|[^\S\n]+\n?|\n")
 _LEAF = 10  # hex digits of a leaf: 8 of its hash, 2 of its length
 _MEMO = 200_000  # clauses remembered by a task
 
