@@ -127,15 +127,17 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
         cells = rows.agg(*aggs)
     level = F.lit(n) - reduce(lambda a, b: a + b, [F.col(f"__g{i}") for i in range(n)], F.lit(0))
     cells = staged(cells.withColumn("__level", level.cast("int")).limit(limits.max_cells + 1), "pivot-cells")
-    if cells.count() > limits.max_cells:
+    n_cells = cells.count()
+    if n_cells > limits.max_cells:
         raise LimitExceeded(f"more than {limits.max_cells} cells")
 
-    # The columns that occur, in order, with nulls last: at most max_columns of them.
+    # The columns that occur, in order, with nulls last, and the grand total's cells: at most max_columns rows.
+    top = cells.where("__level = 0").select(*p.columns, *aliases)
     if p.columns:
-        keys = cells.where("__level = 0").select(*p.columns).orderBy(*[F.col(c).asc_nulls_last() for c in p.columns])
-        paths = [tuple(r) for r in keys.limit(limits.max_columns + 1).collect()]
-    else:
-        paths = [()]
+        top = top.orderBy(*[F.col(c).asc_nulls_last() for c in p.columns]).limit(limits.max_columns + 1)
+    found = top.collect()
+    paths = [tuple(r)[: len(p.columns)] for r in found] if p.columns else [()]
+    grand = {f"{a}_{i}": r[a] for i, r in enumerate(found) for a in aliases}
     if len(paths) * len(aliases) > limits.max_columns:
         raise LimitExceeded(f"more than {limits.max_columns} columns")
     if p.columns and paths:
@@ -150,8 +152,7 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
     out = cells.groupBy(*p.rows, *flags, "__level").agg(*wide) if wide else cells.select(*p.rows, *flags, "__level").distinct()
     counts = {v.aggregate.alias for v in p.values if v.aggregate.fn == "count"}
     out = out.withColumns({c["name"]: F.coalesce(c["name"], F.lit(0).cast("bigint")) for c in columns if c["measure"] in counts})
-    out = staged(out, "pivot-rows")
-    if out.count() > limits.max_rows:
+    if n_cells > limits.max_rows and out.count() > limits.max_rows:  # there are no more rows than cells
         raise LimitExceeded(f"more than {limits.max_rows} rows")
 
     # Each level in the order of its values, or of a measure over the whole row; a subtotal after its members.
@@ -169,7 +170,7 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
             order.append(F.col(r).asc_nulls_last())
         else:
             order.append(F.col(r).desc_nulls_last() if s and s.descending else F.col(r).asc_nulls_last())
-    out = _calculated(out, p, columns, paths, schema)
+    out = _calculated(out, p, grand, paths, schema)
     return PivotResult((out.orderBy(*order) if order else out).select(*p.rows, *[c["name"] for c in columns], "__level"), p.rows, columns)
 
 
@@ -177,12 +178,11 @@ def _adding(t: str):
     return lambda total, x: (total + x).cast(t)
 
 
-def _calculated(out: DataFrame, p: PivotQuery, columns: list[dict], paths: list, schema: Schema) -> DataFrame:
+def _calculated(out: DataFrame, p: PivotQuery, grand: dict[str, Any], paths: list, schema: Schema) -> DataFrame:
     """Measures that are shown as shares or running totals, from the pivot's own cells."""
     wanted = [v for v in p.values if v.calc]
     if not wanted or not paths:
         return out
-    grand = out.where("__level = 0").first()  # one row
     new: dict[str, Column] = {}
     for v in wanted:
         a = v.aggregate.alias
@@ -196,9 +196,9 @@ def _calculated(out: DataFrame, p: PivotQuery, columns: list[dict], paths: list,
                 new[n] = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0).cast(t), _adding(t)))
             continue
         whole = reduce(lambda s, n: s + F.coalesce(double(n), F.lit(0.0)), names, F.lit(0.0))
-        total = sum(float(grand[n]) for n in names if grand and grand[n] is not None)
+        total = sum(float(grand[n]) for n in names if grand.get(n) is not None)
         for n in names:
-            of = {"share_of_row": whole, "share_of_total": F.lit(total), "share_of_column": F.lit(None if grand is None or grand[n] is None else float(grand[n])).cast("double")}[v.calc]
+            of = {"share_of_row": whole, "share_of_total": F.lit(total), "share_of_column": F.lit(None if grand.get(n) is None else float(grand[n])).cast("double")}[v.calc]
             new[n] = F.try_divide(double(n), of)
     return out.withColumns(new)
 
