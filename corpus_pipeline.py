@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm import dropout, langid, mixing, ngram_join
-from lattice.llm.common import new_path, staged
+from lattice.llm.common import lookup, new_path, staged
 from lattice.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,8 +45,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
     groups = staged(spark, groups.join(ids, "key"), "pipeline-groups")
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.count(F.lit(1)).alias("members"))
-    first = first.where("members > 1").select("group", F.col("first.key").alias("stays"))
-    goes = groups.join(first, "group").where("key <> stays").select(F.col("key").alias("__goes"))
+    first = first.where("members > 1").select("group", F.col("first.key").alias("stays"), "members")
+    goes = lookup(groups, first, "group", "members").where("key <> stays").select(F.col("key").alias("__goes"))
     kept = _without_repeats(spark, docs, ids).join(staged(spark, goes, "pipeline-goes"), F.col("key") == F.col("__goes"), "left_anti")
     return kept.select(*COLUMNS)
 

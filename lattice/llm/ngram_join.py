@@ -277,7 +277,7 @@ def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches):
         for r, payloads in _grouped(batches):
-            out, postings, marks = [], [], []
+            out, postings, marks, kept = [], [], [], []
             for p in payloads:
                 kind = p[0]
                 if kind == _DOCUMENTS:
@@ -285,8 +285,8 @@ def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
                 elif kind == _MARKS:
                     marks.append(_whole(*_unpack(p, _LISTS[kind])[3:]))
                 elif kind == _FOUND:
-                    sig, n, count, low, high, rr, weight = _unpack(p, _LISTS[kind])
-                    out += by_bucket(_FOUND, sig, n, _whole(low, high), np.repeat(np.arange(len(sig)), count), rr[0], weight)
+                    sig, n, count, low, high, _, weight = _unpack(p, _LISTS[kind])
+                    kept.append((sig, n, np.repeat(np.arange(len(sig)), count), _whole(low, high), weight))
                 else:
                     postings.append(_unpack(p, _LISTS[kind]))
             payloads.clear()
@@ -318,7 +318,13 @@ def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
                     chosen = (each > 1) | flag
                     weight = np.where(flag, _MARKED, np.minimum(np.where(each < 128, each, 120 + np.log2(np.maximum(each, 1)).astype(np.int64)), _MARKED - 1)).astype(np.uint8)
                     if chosen.any():
-                        out += by_bucket(_FOUND, sig, n, h[chosen], owner[chosen], r, weight[chosen])
+                        kept.append((sig, n, owner[chosen].astype(np.int64), h[chosen], weight[chosen]))
+            if kept:  # one payload a bucket, whatever it is put together from
+                first = np.cumsum([0, *(len(x[0]) for x in kept[:-1])])
+                owner = np.concatenate([x[2] + f for x, f in zip(kept, first, strict=True)])
+                sig, n, h, weight = (np.concatenate([x[i] for x in kept]) for i in (0, 1, 3, 4))
+                kept.clear()
+                out += by_bucket(_FOUND, sig, n, h, owner, r, weight)
             for row in out:
                 yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names=names)
 
