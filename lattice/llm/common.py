@@ -67,22 +67,20 @@ def columns_only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: int = 1024) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: int = 256) -> DataFrame:
     """left JOIN right USING (key), LEFT; right has one row a key, with the left rows of each key in `weight`.
 
-    Keys that hold at least 1/at_most of all rows are at most `at_most` many, so they are broadcast; rows
-    of such keys go through the second join under keys of their own, spread over all partitions. Null keys
-    find nothing.
+    The `at_most` heaviest keys are broadcast; any other key has less than 1/at_most of the rows. Rows of heavy keys go
+    through the second join under keys of their own, spread over all partitions. Null keys find nothing.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
     values = [c for c in right.columns if c != key]
-    heavy = right.where(F.col(key).isNotNull() & (F.col(weight) * at_most >= F.lit(total)) & (F.col(weight) > 1))
-    light = right.where(F.col(key).isNotNull() & ~((F.col(weight) * at_most >= F.lit(total)) & (F.col(weight) > 1)))
+    right = right.where(F.col(key).isNotNull())
+    heavy = right.where(F.col(weight) > 1).orderBy(F.desc(weight), key).limit(at_most)
     pack = lambda df, name: df.select(F.col(key).alias(f"__{name}"), F.struct(*values).alias(f"__{name}_v"))
     out = left.join(F.broadcast(pack(heavy, "h")), F.col(key) == F.col("__h"), "left")
     spread = F.when(F.col("__h").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string")))
     spread = F.coalesce(spread, F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
-    light = pack(light, "l").withColumn("__l", F.concat(F.lit("k"), F.col("__l").cast("string")))
+    light = pack(right, "l").withColumn("__l", F.concat(F.lit("k"), F.col("__l").cast("string")))
     out = out.withColumn("__k", spread).join(light, F.col("__k") == F.col("__l"), "left")
     found = F.coalesce("__h_v", "__l_v")
     return out.select(*left.columns, *[found[v].alias(v) for v in values])

@@ -21,11 +21,11 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while True:
         # large star: a node's larger neighbours go to the least of the node and its neighbours
         both = edges.select(F.col("hi").alias("v"), F.col("lo").alias("w")).unionByName(edges.select(F.col("lo").alias("v"), F.col("hi").alias("w")))
-        least = staged(spark, both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        least = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         moved = lookup(both, least, "v", "n").where("w > v").select(F.col("w").alias("hi"), F.col("m").alias("lo"))
         edges = staged(spark, moved.where("hi <> lo").distinct(), "cc-large")
         # small star: a node and its smaller neighbours go to the least of them
-        least = staged(spark, edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "cc-least")
+        least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         found = lookup(edges, least, "hi", "n")
         moved = found.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
         edges = staged(spark, moved.where("hi <> lo").distinct(), "cc-small")
