@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from lattice.llm.common import columns_only, lookup, ship, staged, text_of, width
 from lattice.llm.graph import components
 
-_SLICE = 1 << 20  # bytes of text whose words are hashed at once
-_CHUNK = 3_000_000  # hashes that a task gathers before it writes them
+_SLICE = 1 << 19  # bytes of text whose words are hashed at once
+_CHUNK = 1_000_000  # hashes that a task gathers before it writes them
 _FREQUENT = 16  # a hash of at least one in so many sets of a chunk (and of 64) is marked as frequent
 _PROFILE = 64  # classes of hashes that a profile counts
 _MARKED = 255
@@ -298,8 +298,10 @@ def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
                 sig, firsts, of = np.unique(sig_all, return_index=True, return_inverse=True)
                 n = n_all[firsts]
                 owner = np.repeat(of.astype(np.int32), count)
+                del sig_all, n_all, count, of
                 o = np.argsort(h)
                 h, owner = h[o], owner[o]
+                del o
                 run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 length = np.diff(run_at, append=len(h))
                 marked = np.isin(h[run_at], np.concatenate(marks)) if marks else np.zeros(len(run_at), bool)
@@ -311,6 +313,7 @@ def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
                 keep = np.ones(len(h), bool)  # the same class from several tasks
                 keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
                 h, owner, flag = h[keep], owner[keep], flag[keep]
+                del o, keep, chosen
                 if len(h):
                     run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                     length = np.diff(run_at, append=len(h))
