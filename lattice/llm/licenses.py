@@ -1,17 +1,24 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A text's lines are normalised (lower case, words only). A line is a candidate if at least half of its bigrams occur
-in some template; runs of candidate lines, and every stretch of lines within a run, are compared with the templates
-whose size allows the threshold: with n and m bigrams, 2 * min(n, m) / (n + m) must reach it. Of overlapping
-matches the better one is kept (then the longer, then the first).
+A text is normalised (lower case, words only, one spelling of "license"), and stretches of its words are compared with
+the templates wherever they begin and end: within a line, over several lines, within a paragraph. With n bigrams in a
+template and m in a stretch, the Dice coefficient can reach the threshold t only if n * t / (2 - t) <= m <= n * (2 - t) / t
+and at least n * t / (2 - t) of the template's bigrams are there. So a template is looked at only in texts that hold one of
+its rarest bigrams (as many as a match cannot do without), and a stretch begins and ends with a bigram that counts.
 
-Nulls count as empty text, which matches nothing. Whole texts are read, a line's place in them doesn't matter.
+Of overlapping matches the better one is kept (then the longer, then the first), over all stretches and templates.
+A match ends with the punctuation that closes its last word.
+
+Nulls count as empty text, which matches nothing. Whole texts are read.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 import re
+from bisect import bisect_right, insort
 from collections import Counter
 from dataclasses import dataclass
 
@@ -65,10 +72,19 @@ TEMPLATES = {
 }
 
 _WORD = re.compile(r"\w+")
+_CLOSING = re.compile(r"[^\w\s]+(?=\s|\Z)")
+
+
+def _folded(text: str) -> str:
+    """Lower case and one spelling of "license", every character in its place."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low.replace("licence", "license")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_folded(text))
 
 
 def dice(a: Counter, b: Counter) -> float:
@@ -97,45 +113,92 @@ class Scanner:
                 if grams:
                     self.templates.append((grams.total(), name, grams))
         self.templates.sort(key=lambda t: (t[0], t[1]))
-        self.known = {g for _, _, grams in self.templates for g in grams}
-        self.most = max((n for n, _, _ in self.templates), default=0) * (2 - threshold) / threshold
-
-    def _best(self, grams: Counter, n: int) -> tuple[float, str] | None:
-        least, most = n * self.threshold / (2 - self.threshold), n * (2 - self.threshold) / self.threshold
-        found = [(d, name) for m, name, t in self.templates if least <= m <= most and (d := dice(grams, t)) >= self.threshold]
-        return min(found, key=lambda x: (-x[0], x[1])) if found else None
+        sizes = [n for n, _, _ in self.templates]
+        self.least = [max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)) for n in sizes]  # of its bigrams in a match
+        self.most = [math.floor(n * (2 - threshold) / threshold + 1e-9) for n in sizes]  # bigrams of a match
+        shared = Counter(g for _, _, grams in self.templates for g in grams)
+        self.known = set(shared)
+        self.anchors: dict[tuple[str, str], list[int]] = {}  # a match of a template holds at least one of its anchors
+        for t, (n, _, grams) in enumerate(self.templates):
+            free = n - self.least[t]
+            for g in sorted(grams, key=lambda g: (shared[g], -len(g[0]) - len(g[1]), g)):
+                self.anchors.setdefault(g, []).append(t)
+                free -= grams[g]
+                if free < 0:
+                    break
+
+    def _places(self, t: int, at: dict[tuple[str, str], list[int]]) -> tuple | None:
+        """Where the template's bigrams are, for each the place from which on a stretch has fewer than the template of them before it, and where a match may begin."""
+        import numpy as np
+
+        grams, least, most = self.templates[t][2], self.least[t], self.most[t]
+        small, large = (at, grams) if len(at) < len(grams) else (grams, at)
+        here = [g for g in small if g in large]
+        if sum(len(at[g]) for g in here) < least:
+            return None
+        hits = sorted((p, at[g][i - grams[g]] if i >= grams[g] else -1) for g in here for i, p in enumerate(at[g]))
+        places, before = np.array([p for p, _ in hits]), np.array([b for _, b in hits])
+        reach = np.searchsorted(places, places + most) - np.arange(len(places))
+        starts = np.flatnonzero(reach >= least)
+        return (places, before, reach, starts) if len(starts) else None
+
+    def _stretch(self, t: int, found: tuple, i: int, limit: int) -> tuple[float, int] | None:
+        """The best (then longest) stretch that begins at the template's i-th place and has its bigrams before the limit: Dice, last bigram."""
+        import numpy as np
+
+        places, before, _, _ = found
+        first = places[i]
+        j = int(np.searchsorted(places, min(first + self.most[t], limit)))
+        counts = before[i:j] < first
+        d = np.where(counts, 2 * np.cumsum(counts) / (self.templates[t][0] + places[i:j] - first + 1), 0)
+        if not len(d) or d.max() < self.threshold:
+            return None
+        k = len(d) - 1 - int(d[::-1].argmax())
+        return float(d[k]), int(places[i + k])
 
     def scan(self, text: str) -> list[Match]:
         """Non-overlapping matches, in the order of the text."""
-        known, runs, at, run = self.known, [], 0, []
-        for line in text.split("\n"):
-            w = words(line)
-            if w:
-                hits = sum(map(known.__contains__, zip(w, w[1:], strict=False)))
-                if 2 * hits >= len(w) - 1 and (hits or len(w) == 1 and run):
-                    run.append((at, at + len(line), w))
-                elif run:
-                    runs.append(run)
-                    run = []
-            at += len(line) + 1
-        if run:
-            runs.append(run)
-        found: list[Match] = []
-        for run in runs:
-            for i in range(len(run)):
-                stretch: list[str] = []
-                for j in range(i, len(run)):
-                    stretch += run[j][2]
-                    n = len(stretch) - 1
-                    if n > self.most:
-                        break
-                    if n > 0 and (best := self._best(Counter(zip(stretch, stretch[1:], strict=False)), n)):
-                        found.append(Match(best[1], best[0], run[i][0], run[j][1]))
-        out: list[Match] = []
-        for m in sorted(found, key=lambda m: (-m.dice, m.begin - m.end, m.begin)):
-            if all(m.end <= o.begin or o.end <= m.begin for o in out):
-                out.append(m)
-        return sorted(out, key=lambda m: m.begin)
+        folded = _folded(text)
+        w, known = _WORD.findall(folded), self.known
+        hits = [(p, g) for p, g in enumerate(zip(w, w[1:], strict=False)) if g in known]
+        active = {t for _, g in hits for t in self.anchors.get(g, ())}
+        if not active:
+            return []
+        at: dict[tuple[str, str], list[int]] = {}
+        for p, g in hits:
+            at.setdefault(g, []).append(p)
+        found = {t: f for t in active if (f := self._places(t, at))}
+        if not found:
+            return []
+        spans = [m.span() for m in _WORD.finditer(folded)]
+        # (-Dice, -length, begin, licence, template, place, limit, last bigram); not yet compared: the most that is possible, no last bigram
+        queue = []
+        for t, (places, _, reach, starts) in found.items():
+            n = self.templates[t][0]
+            for i in starts.tolist():
+                best = min(n, int(reach[i]))
+                queue.append((-2 * best / (n + best), -math.inf, spans[places[i]][0], "", t, i, len(w), -1))
+        heapq.heapify(queue)
+        taken: list[tuple[int, int, str, float]] = []  # first word, last word, licence, Dice; by place
+        while queue:
+            d, _, begin, name, t, i, limit, last = heapq.heappop(queue)
+            first = int(found[t][0][i])
+            near = bisect_right(taken, (first, math.inf))
+            if near and taken[near - 1][1] >= first:
+                continue
+            if near < len(taken) and taken[near][0] - 1 < limit:  # the stretch must end before the next match
+                limit = taken[near][0] - 1
+                last = -1 if last >= limit else last
+            if last >= 0:
+                insort(taken, (first, last + 1, name, -d))
+            elif best := self._stretch(t, found[t], i, limit):
+                heapq.heappush(queue, (-best[0], begin - spans[best[1] + 1][1], begin, self.templates[t][1], t, i, limit, best[1]))
+        out = []
+        for first, last, name, d in taken:
+            end = spans[last][1]
+            closing = _CLOSING.match(text, end)
+            out.append(Match(name, d, spans[first][0], closing.end() if closing else end))
+        return out
 
 
 @functools.lru_cache(maxsize=4)

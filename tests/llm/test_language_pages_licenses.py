@@ -86,3 +86,38 @@ def test_licences_against_every_template(spark):
         best = max((licenses.dice(Counter(zip(w, w[1:], strict=False)), g) for x in texts[i].split("\n") for w in [licenses.words(x)] for _, _, g in scanner.templates), default=0)
         assert (got[i].dice or 0) == (round(best, 6) if best >= 0.8 else 0)
     assert licenses.scan(spark, df.limit(0)).count() == 0
+
+
+def test_licences_within_lines():
+    texts = {
+        "Foo lib. Released under the MIT License. See the docs for usage.": [("MIT", "Released under the MIT License.")],
+        "(c) 2020 Foo Inc. All rights reserved.": [("all-rights-reserved", "All rights reserved.")],
+        "It is long prose and then released under the MIT License, all rights reserved by nobody": [("MIT", "released under the MIT License,"), ("all-rights-reserved", "all rights reserved")],
+        "x " * 300 + licenses.TEMPLATES["MIT"][3] + " y" * 300: [("MIT", licenses.TEMPLATES["MIT"][3])],
+        "Released under\nNOT A WORD OF IT\nthe MIT License": [],
+        "All rights reserved. " * 500: [("all-rights-reserved", "All rights reserved.")] * 500,
+    }
+    for text, expected in texts.items():
+        assert [(m.license, text[m.begin : m.end]) for m in licenses.Scanner().scan(text)] == expected
+    mit = licenses.TEMPLATES["MIT"][3].split()
+    broken = "\n".join([" ".join(mit[:80]), "page 3 of 7", " ".join(mit[80:])])  # one foreign line inside a notice
+    assert [(m.license, m.begin, m.end) for m in licenses.Scanner().scan(broken)] == [("MIT", 0, len(broken))]
+
+
+def test_licence_stretches_against_all_stretches():
+    rnd = random.Random(7)
+    templates = {"A": ["a b c d e", "a b a b c"], "B": ["c d e f", "b c"], "C": ["a b c a b c d e f a b"]}
+    scanner = licenses.Scanner(0.8, templates)
+    for _ in range(300):
+        w = [rnd.choice("abcdefx") for _ in range(rnd.randrange(40))] if rnd.random() < 0.5 else " ".join(rnd.choice(["a b c d e", "c d e f", "b c", "x", "a b", "a b c a b c"]) for _ in range(9)).split()
+        every = []
+        for i in range(len(w)):
+            for j in range(i + 2, len(w) + 1):
+                grams = Counter(zip(w[i:j], w[i + 1 : j], strict=False))
+                every += [(-d, i - j, i, name) for _, name, g in scanner.templates if (d := licenses.dice(grams, g)) >= 0.8]
+        kept = []
+        for d, length, i, name in sorted(every):
+            if all(i - length <= o[0] or o[1] <= i for o in kept):
+                kept.append((i, i - length, name, -d))
+        got = [(m.begin // 2, (m.end + 1) // 2, m.license, m.dice) for m in scanner.scan(" ".join(w))]
+        assert got == sorted(kept)
