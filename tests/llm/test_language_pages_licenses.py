@@ -121,3 +121,25 @@ def test_licence_stretches_against_all_stretches():
                 kept.append((i, i - length, name, -d))
         got = [(m.begin // 2, (m.end + 1) // 2, m.license, m.dice) for m in scanner.scan(" ".join(w))]
         assert got == sorted(kept)
+
+
+def test_every_licence_line_of_the_sample_is_found(spark):
+    import duckdb
+
+    name = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "all-rights-reserved", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    lines = duckdb.sql("SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    lines = {x for (x,) in lines if any(k in x.lower() for k in ("licen", "rights reserved", "public domain", "copyright"))}
+    assert lines == set(name)
+    for line, licence in name.items():
+        assert [(m.license, m.dice, line[m.begin : m.end]) for m in licenses._scanner(0.8).scan(line)] == [(licence, 1.0, line)]
+
+
+def test_whole_licences_and_usual_notices_have_their_names():
+    s = licenses._scanner(0.8)
+    for name, text in licenses.TEXTS.items():
+        assert [(m.license, m.dice) for m in s.scan("Some words. " + text + " More words.")] == [(name, 1.0)]
+    notices = {"GPL-2.0": "Licensed under the GPLv2.", "LGPL-2.1-or-later": "released under the GNU Lesser General Public Licence v2.1 or later", "AGPL-3.0": "SPDX-License-Identifier: AGPL-3.0", "BSD-3-Clause": "licensed under the 3-clause BSD license", "CC-BY-NC-SA-3.0": "see https://creativecommons.org/licenses/by-nc-sa/3.0/ for it", "CC-BY-SA-4.0": "Text is available under the Creative Commons Attribution-ShareAlike 4.0 License", "GPL": "It is licensed under the GNU General Public License of old", "MIT": "This project is licensed under the terms of the MIT license."}
+    for name, text in notices.items():
+        assert [(m.license, m.dice) for m in s.scan(text)] == [(name, 1.0)], text
+    for text in ("This project is licensed under the terms of the Foo license.", "Licensed under the law of the land.", "SPDX-License-Identifier: LicenseRef-Foo", "The rights of all who reserved it."):
+        assert s.scan(text) == []
