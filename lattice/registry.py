@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.engine import Engine
+from lattice.operators.tree import TreeResult, run_tree
 from lattice.plans import builders
+from lattice.plans.query import Query, validate
 from lattice.policy import Policy
 from lattice.sources import export
 from lattice.types import Field, Schema, Type
@@ -250,10 +252,17 @@ ORACLES["pvt_order"] = _with(
 _TREE = {"key": "id", "parent": "parent"}
 
 
+def _whole_tree(spark: SparkSession, sf_dir: str, q: dict) -> TreeResult:
+    """The tree's answer without the limit that a request without one is given: all its rows."""
+    e = engine(spark, sf_dir, "nodes")
+    s = e.sources["nodes"]
+    return run_tree(s.df, validate(Query.from_json({"source": "nodes"} | q), s.schema, e.limits), s.schema)
+
+
 def _tree(name: str, q: dict, sql: str, aggregates: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        r = engine(spark, sf_dir, "nodes").execute({"source": "nodes", "limit": 10_000} | q)
-        return r.tree.aggregates if aggregates else r.df
+        r = _whole_tree(spark, sf_dir, q)
+        return r.aggregates if aggregates else r.df
 
     QUERIES[name] = run
     ORACLES[name] = f"WITH RECURSIVE s AS ({_SQL['nodes']}) {sql}"
@@ -268,7 +277,9 @@ _tree("tree_level", {"select": ["id", "name"], "sort": _sorted, "tree": _TREE |
 _tree("tree_context", {"select": ["id", "name"], "filter": _building, "sort": _sorted, "tree": _TREE | {"under": "r2"}}, _VISIBLE + " SELECT s.id, s.name, (SELECT count(*) FROM v c WHERE c.parent = s.id) AS __children, v.match AS __matched FROM s JOIN v USING (id) WHERE s.parent = 'r2'")
 _tree("tree_scope", {"select": ["id"], "sort": [{"field": "id"}], "tree": _TREE | {"scope": {"not": _leaf("id", "in", ["r0", "n7"])}}}, "SELECT id, (SELECT count(*) FROM s c WHERE c.parent = s.id AND c.id NOT IN ('r0', 'n7')) AS __children, TRUE AS __matched FROM s WHERE id NOT IN ('r0', 'n7') AND (parent IS NULL OR parent IN ('r0', 'n7'))")
 _tree("tree_subtree_aggregates", {"select": ["id"], "filter": _building, "tree": _TREE | {"aggregate": [{"fn": "count", "as": "n"}, {"fn": "sum", "field": "amount", "as": "total"}]}}, _VISIBLE + ", b(top, id) AS (SELECT id, id FROM s WHERE parent IS NULL UNION ALL SELECT b.top, s.id FROM b JOIN s ON s.parent = b.id) SELECT top AS id, count(*) FILTER (s.segment = 'BUILDING') AS n, (sum(s.amount) FILTER (s.segment = 'BUILDING'))::DECIMAL(38,2) AS total FROM b JOIN s ON s.id = b.id WHERE top IN (SELECT id FROM v) GROUP BY top", True)
-_tree("tree_flat", {"select": ["id", "name"], "sort": _sorted, "tree": _TREE | {"flat": True}}, ", f(id, name, place, path, level) AS (SELECT id, name, [name || chr(1) || id], [id], 0::BIGINT FROM s WHERE parent IS NULL UNION ALL SELECT s.id, s.name, list_append(f.place, s.name || chr(1) || s.id), list_append(f.path, s.id), f.level + 1 FROM f JOIN s ON s.parent = f.id) SELECT id, name, level, path FROM f ORDER BY place LIMIT 10000")
+# tree_flat is a page, as its SQL says: the limit is what is tested. tree_flat_whole has all nodes.
+_tree("tree_flat", {"select": ["id", "name"], "sort": _sorted, "limit": 10_000, "tree": _TREE | {"flat": True}}, ", f(id, name, place, path, level) AS (SELECT id, name, [name || chr(1) || id], [id], 0::BIGINT FROM s WHERE parent IS NULL UNION ALL SELECT s.id, s.name, list_append(f.place, s.name || chr(1) || s.id), list_append(f.path, s.id), f.level + 1 FROM f JOIN s ON s.parent = f.id) SELECT id, name, level, path FROM f ORDER BY place LIMIT 10000")
+_tree("tree_flat_whole", {"select": ["id", "name"], "sort": _sorted, "tree": _TREE | {"flat": True}}, ", f(id, name, place, path, level) AS (SELECT id, name, [name || chr(1) || id], [id], 0::BIGINT FROM s WHERE parent IS NULL UNION ALL SELECT s.id, s.name, list_append(f.place, s.name || chr(1) || s.id), list_append(f.path, s.id), f.level + 1 FROM f JOIN s ON s.parent = f.id) SELECT id, name, level, path FROM f ORDER BY place")
 _tree("tree_flat_filtered", {"select": ["id", "name"], "filter": _building, "sort": _sorted, "tree": _TREE | {"flat": True}}, _VISIBLE + ", f(id, path, level, match) AS (SELECT id, [id], 0::BIGINT, match FROM v WHERE parent IS NULL UNION ALL SELECT v.id, list_append(f.path, v.id), f.level + 1, v.match FROM f JOIN v ON v.parent = f.id) SELECT id, s.name, level, path, match FROM f JOIN s USING (id)")
 
 # What a grid asks.

@@ -24,3 +24,21 @@ def test_query_equals_its_sql(spark, name):
 
 def test_names():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) > 60
+
+
+TREES = ["tree_level", "tree_scope", "tree_context", "tree_flat_filtered", "tree_flat_whole", "tree_flat"]
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_trees_of_more_than_ten_thousand_nodes_are_whole(spark, name, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE region AS SELECT i AS r_regionkey, 'R' || i AS r_name FROM range(3) t(i)")
+    con.execute("CREATE TABLE nation AS SELECT i AS n_nationkey, CASE WHEN i < 3 THEN i ELSE 1 + i % 2 END AS n_regionkey, 'N' || i AS n_name FROM range(33000) t(i)")
+    con.execute("CREATE TABLE customer AS SELECT i AS c_custkey, CASE WHEN i < 10500 THEN 7 ELSE i END AS c_nationkey, 'C' || i AS c_name, 'BUILDING' AS c_mktsegment, i / 2.0 AS c_acctbal FROM range(33000) t(i)")
+    for t in ("region", "nation", "customer"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df, got = registry.QUERIES[name](spark, str(tmp_path)), con.execute(registry.ORACLES[name])
+    names = [d[0] for d in got.description]
+    expected = sorted(map(str, got.fetchall()))
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == expected
+    assert len(expected) == 10_000 if name == "tree_flat" else len(expected) > 10_000
