@@ -77,6 +77,8 @@ class PivotResult:
     df: DataFrame
     rows: tuple[str, ...]
     columns: list[dict] = field(default_factory=list)  # {name, path, measure}
+    all_rows: DataFrame | None = None  # df before it is put in order, with the columns of the order
+    order: list[Column] = field(default_factory=list)
 
 
 def validate_pivot(p: PivotQuery, schema: Schema, limits: PivotLimits, query_limits: Limits) -> Any:
@@ -171,7 +173,7 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
         else:
             order.append(F.col(r).desc_nulls_last() if s and s.descending else F.col(r).asc_nulls_last())
     out = _calculated(out, p, grand, paths, schema)
-    return PivotResult((out.orderBy(*order) if order else out).select(*p.rows, *[c["name"] for c in columns], "__level"), p.rows, columns)
+    return PivotResult((out.orderBy(*order) if order else out).select(*p.rows, *[c["name"] for c in columns], "__level"), p.rows, columns, out, order)
 
 
 def _adding(t: str):

@@ -12,6 +12,7 @@ from lattice.operators.tree import TreeResult, run_tree
 from lattice.plans import builders
 from lattice.plans.query import Query, validate
 from lattice.policy import Policy
+from lattice.runtime import with_rank
 from lattice.sources import export
 from lattice.types import Field, Schema, Type
 
@@ -235,8 +236,8 @@ _calc("running_total", "(n0 + CASE WHEN {i} > 0 THEN n1 ELSE 0 END + CASE WHEN {
 def _pivot_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of a pivot's rows by a measure, as positions."""
     p = {"source": "lineitem", "rows": _rows2, "columns": ["l_year"], "values": _measures(("sum", "l_extendedprice", "revenue", None)), "sort": [{"field": "l_returnflag", "by": "revenue", "direction": "desc"}, {"field": "l_linestatus", "by": "revenue"}]}
-    rows = engine(spark, sf_dir, "lineitem").pivot(p).df.select(*_rows2, "__level").collect()
-    return spark.createDataFrame([(r[0], r[1], r[2], i) for i, r in enumerate(rows)], "l_returnflag string, l_linestatus string, level int, position long")
+    r = engine(spark, sf_dir, "lineitem").pivot(p)
+    return with_rank(r.all_rows, *r.order, name="position").select(*_rows2, F.col("__level").alias("level"), "position")
 
 
 QUERIES["pvt_order"] = _pivot_order

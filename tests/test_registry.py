@@ -42,3 +42,13 @@ def test_trees_of_more_than_ten_thousand_nodes_are_whole(spark, name, tmp_path):
     expected = sorted(map(str, got.fetchall()))
     assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == expected
     assert len(expected) == 10_000 if name == "tree_flat" else len(expected) > 10_000
+
+
+def test_pivot_positions_are_made_by_spark(spark):
+    df = registry.QUERIES["pvt_order"](spark, SF)
+    assert df.inputFiles()  # rows that the driver made come from no file
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    got = con.execute(registry.ORACLES["pvt_order"])
+    names = [d[0] for d in got.description]
+    assert sorted(map(str, (tuple(r) for r in df.select(*names).collect()))) == sorted(map(str, got.fetchall()))
