@@ -71,7 +71,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: in
     """left JOIN right USING (key), LEFT; right has one row a key, with the left rows of each key in `weight`.
 
     The `at_most` heaviest keys are broadcast; any other key has less than 1/at_most of the rows. Rows of heavy keys go
-    through the second join under keys of their own, spread over all partitions. Null keys find nothing.
+    through the second join under keys of their own, spread over all partitions by a hash of the whole row: a task that is run
+    again sends each row to the same place, whatever their order. Null keys find nothing.
     """
     values = [c for c in right.columns if c != key]
     right = right.where(F.col(key).isNotNull())
@@ -79,7 +80,7 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: in
     pack = lambda df, name: df.select(F.col(key).alias(f"__{name}"), F.struct(*values).alias(f"__{name}_v"))
     out = left.join(F.broadcast(pack(heavy, "h")), F.col(key) == F.col("__h"), "left")
     spread = F.when(F.col("__h").isNull() & F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key).cast("string")))
-    spread = F.coalesce(spread, F.concat(F.lit("s"), F.monotonically_increasing_id().cast("string")))
+    spread = F.coalesce(spread, F.concat(F.lit("s"), F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]).cast("string")))
     light = pack(right, "l").withColumn("__l", F.concat(F.lit("k"), F.col("__l").cast("string")))
     out = out.withColumn("__k", spread).join(light, F.col("__k") == F.col("__l"), "left")
     found = F.coalesce("__h_v", "__l_v")

@@ -164,3 +164,13 @@ def test_scores_beyond_doubles_are_exact(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(spark, topk.quantized(df), F.col("vec_id") == 0, 10).collect()
     assert sorted(map(tuple, got)) == [r for r in _brute_top(rows) if r[0] == 0]
+
+
+def test_lookup_spreads_rows_by_what_they_hold(spark):
+    from lattice.llm.common import lookup
+
+    left = spark.createDataFrame([(i, [None, "hot", "hot", f"k{i}"][i % 4]) for i in range(200)], "id long, key string")
+    right = left.where("key is not null").groupBy("key").count().selectExpr("key", "count as n", "upper(key) as v")
+    out = lookup(left, right, "key", "n", at_most=1)
+    assert "monotonically_increasing_id" not in out._jdf.queryExecution().toString()  # it depends on the order of a task's rows
+    assert sorted((r.id, r.v) for r in out.collect()) == [(i, [None, "HOT", "HOT", f"K{i}"][i % 4]) for i in range(200)]
