@@ -4,23 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattice import runtime
+from lattice.runtime import discard, new_path, scratch
+
+__all__ = ["WORD", "arrow_schema", "columns_only", "discard", "lookup", "lookup_wide", "new_path", "ranked", "rows_out", "scratch", "ship", "staged", "text_of", "width"]
+
 #: Words of every operator that counts words: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _SHIPPED = "lattice.llm.shipped"
 
 
+#: Arrow batches between JVM and Python hold so much at most (and a row at least), as texts may be long.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that are started elsewhere than here."""
+    """Make this package importable in Python workers that are started elsewhere than here, and bound Arrow batches by bytes."""
+    if spark.conf.get(_BATCH[0], None) is None:
+        spark.conf.set(*_BATCH)
     root = Path(__file__).resolve().parents[2]
     known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
     if any(p and Path(p).resolve() == root for p in known) or spark.conf.get(_SHIPPED, None):
@@ -33,24 +43,9 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set(_SHIPPED, "true")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI or path."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        given = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", given)
-    return given.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Written once to the shared folder and read back: lineage ends, a lost executor loses nothing."""
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return runtime.staged(df, label)
 
 
 def width(spark: SparkSession) -> int:
@@ -67,6 +62,24 @@ def columns_only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def lookup_wide(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: int = 64) -> DataFrame:
+    """left JOIN right USING (key), LEFT, as `lookup`, for right rows of any size: none is broadcast.
+
+    Of the `at_most` heaviest keys only the number of copies is broadcast: a key with a share x of the left rows has about x times
+    the partitions of them, and its left rows are dealt over the copies by a hash of the whole row.
+    """
+    spark, parts = left.sparkSession, width(left.sparkSession)
+    total = right.agg(F.sum(weight)).first()[0] or 1
+    heaviest = right.where(F.col(key).isNotNull()).orderBy(F.desc(weight), key).limit(at_most).select(key, weight).collect()
+    copies = [(k, max(1, -(-w * parts // total))) for k, w in heaviest]
+    heavy = F.broadcast(spark.createDataFrame(copies, T.StructType([T.StructField("__h", right.schema[key].dataType), T.StructField("__copies", T.IntegerType())])))
+    copied = right.join(heavy, F.col(key) == F.col("__h"), "left")
+    copied = copied.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__h", "__copies")
+    dealt = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__copies")).cast("int"), F.lit(0))
+    out = left.join(heavy, F.col(key) == F.col("__h"), "left").withColumn("__copy", dealt).drop("__h", "__copies")
+    return out.join(copied, [key, "__copy"], "left").select(*left.columns, *[c for c in right.columns if c != key])
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: int = 256) -> DataFrame:
     """left JOIN right USING (key), LEFT; right has one row a key, with the left rows of each key in `weight`.
 
@@ -88,18 +101,8 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, at_most: in
 
 
 def ranked(spark: SparkSession, df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """df with the 0-based position of each row in the given total order, without one task for all rows.
-
-    Rows are dealt by range and sorted, the dealt rows are staged so that they stay as they are, and each
-    partition's offset is the sum of the counts before it (one number a partition).
-    """
-    part, at = "__part", "__at"
-    dealt = df.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
-    dealt = staged(spark, dealt.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "ranked")
-    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
-    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    offsets = offsets.select(F.col(part).alias("__p"), "first", "before")  # one row a partition
-    return dealt.join(F.broadcast(offsets), F.col(part) == F.col("__p")).select(*df.columns, (F.col("before") + F.col(at) - F.col("first")).alias(name))
+    """df with the 0-based position of each row in the given total order, without one task for all rows."""
+    return runtime.with_rank(df, *order, name=name)
 
 
 def arrow_schema(schema: str) -> T.StructType:

@@ -28,7 +28,7 @@ from lattice.llm.common import columns_only, ship, text_of
 
 _MARK = "▁"
 _LONG = 160
-_CHARS = 1 << 19  # characters whose words run side by side
+_CHARS = 1 << 17  # characters whose words run side by side
 _NONE = np.int64(1) << 60
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 

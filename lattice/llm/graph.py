@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import lookup, staged
+from lattice.llm.common import discard, lookup, staged
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -23,12 +23,14 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("hi").alias("v"), F.col("lo").alias("w")).unionByName(edges.select(F.col("lo").alias("v"), F.col("hi").alias("w")))
         least = both.groupBy("v").agg(F.least(F.min("w"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         moved = lookup(both, least, "v", "n").where("w > v").select(F.col("w").alias("hi"), F.col("m").alias("lo"))
-        edges = staged(spark, moved.where("hi <> lo").distinct(), "cc-large")
+        last, edges = edges, staged(spark, moved.where("hi <> lo").distinct(), "cc-large")
+        discard(spark, last)
         # small star: a node and its smaller neighbours go to the least of them
         least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
         found = lookup(edges, least, "hi", "n")
         moved = found.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
-        edges = staged(spark, moved.where("hi <> lo").distinct(), "cc-small")
+        last, edges = edges, staged(spark, moved.where("hi <> lo").distinct(), "cc-small")
+        discard(spark, last)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -4,10 +4,11 @@ Two documents link when the Jaccard similarity of their sets of word shingles re
 represented by a 64-bit signature; the join is between classes, exact, in these steps:
 
 1. Sets (one pass over the texts). Words and shingles are hashed to 64 bits in numpy; each task writes the hashes of its
-   distinct sets to ranges of hashes, six bytes each.
-2. Inverted lists. Each range finds how many classes have each hash. A hash of one class can be in no intersection; the
-   others go back to their class, with their frequency. Hashes that are very frequent within one task's rows are marked
-   there, so no range gathers a posting for each of a third of all rows.
+   distinct sets to ranges of hashes, six bytes each. There are as many ranges as shuffle partitions, more where a
+   range would stand for over _RANGE_BYTES of text; each is one partition.
+2. Inverted lists. Each range finds how many classes have each hash, some of its hashes at a time (_AT_ONCE). A hash of one class
+   can be in no intersection; the others go back to their class, with their frequency. Hashes that are very frequent within
+   one task's rows are marked there and go straight to their class, so no range gathers a posting for each of a third of all rows.
 3. A class with u hashes of its own and n in all can have partners only if u < n - ceil(t * n) + 1 (the rarest so many of its
    hashes hold one of any partner's). The other classes are the candidates; what they share with anything is
    now in their rows, so no text or set is read again.
@@ -28,19 +29,23 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import columns_only, lookup, ship, staged, text_of, width
+from lattice.llm.common import columns_only, discard, lookup, lookup_wide, scratch, ship, staged, text_of, width
 from lattice.llm.graph import components
 
 _SLICE = 1 << 19  # bytes of text whose words are hashed at once
 _CHUNK = 1_000_000  # hashes that a task gathers before it writes them
+_AT_ONCE = 1 << 20  # hashes of a range that are sorted together
+_RANGE_BYTES = 64 << 20
 _FREQUENT = 16  # a hash of at least one in so many sets of a chunk (and of 64) is marked as frequent
 _PROFILE = 64  # classes of hashes that a profile counts
+_PARITY = 8  # longs of the parity of 64 finer classes each
 _MARKED = 255
 _LOW = np.uint64((1 << 48) - 1)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -126,7 +131,7 @@ def _unpack(payload: bytes, types: tuple) -> tuple:
 
 
 _POSTINGS, _FOUND, _MARKS, _DOCUMENTS = range(4)
-_LISTS = {_POSTINGS: (np.uint32, np.uint16), _FOUND: (np.uint32, np.uint16, np.uint16, np.uint8), _MARKS: (np.uint32, np.uint16), _DOCUMENTS: (np.int64, np.uint8)}
+_LISTS = {_POSTINGS: (np.uint32, np.uint16), _FOUND: (np.uint32, np.uint16, np.uint32, np.uint8), _MARKS: (np.uint32, np.uint16), _DOCUMENTS: (np.int64, np.uint8)}
 
 
 def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +144,7 @@ def _whole(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
-    return ((h >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
@@ -169,7 +174,7 @@ class _Chunk:
             return
         h, n, sig = np.concatenate(self.hashes), np.concatenate(self.sizes), np.concatenate(self.sigs)
         ids, nulls = np.concatenate(self.ids), np.concatenate(self.nulls)
-        where = _bucket_of(sig, self.ranges)
+        where = _bucket_of(sig ^ _mix(ids.astype(np.uint64)), self.ranges)  # rows of one text are dealt out
         for r in np.unique(where):
             at = np.flatnonzero(where == r)
             yield int(r), _pack(_DOCUMENTS, sig[at], n[at], np.ones(len(at)), ids[at], nulls[at])
@@ -197,9 +202,10 @@ class _Chunk:
             hh, dd = h[chosen], doc[chosen]
             if not len(hh):
                 continue
-            r = _range_of(hh, self.ranges)
+            ranges = _range_of(hh, self.ranges)
+            r = ranges if kind == _POSTINGS else _bucket_of(sig, self.ranges)[dd]
             o = np.argsort(r * len(sig) + dd, kind="stable")
-            hh, dd, r = hh[o], dd[o], r[o]
+            hh, dd, r, ranges = hh[o], dd[o], r[o], ranges[o]
             group = np.flatnonzero(np.concatenate([[True], (dd[1:] != dd[:-1]) | (r[1:] != r[:-1])]))
             count = np.diff(group, append=len(hh))
             part = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
@@ -207,7 +213,7 @@ class _Chunk:
             for i, (a, z) in enumerate(zip(part, [*part[1:], len(hh)], strict=True)):
                 g = slice(g_at[i], g_at[i + 1] if i + 1 < len(part) else len(group))
                 owner = dd[group[g]]
-                more = () if kind == _POSTINGS else (r[a:z].astype(np.uint16), np.full(z - a, _MARKED, np.uint8))
+                more = () if kind == _POSTINGS else (ranges[a:z].astype(np.uint32), np.full(z - a, _MARKED, np.uint8))
                 yield int(r[a]), _pack(kind, sig[owner], n[owner], count[g], *_halves(hh[a:z]), *more)
 
 
@@ -244,97 +250,77 @@ def _sets(df: DataFrame, size: int, ranges: int) -> DataFrame:
     return df.mapInArrow(run, "range int, payload binary")
 
 
-def _grouped(batches, key: int = 0) -> Iterator[tuple[int, list[bytes]]]:
-    """Payloads of each key, of rows sorted by key."""
-    now, held = None, []
-    for b in batches:
-        for k, p in zip(b[key].to_pylist(), b[1].to_pylist(), strict=True):
-            if k != now:
-                if held:
-                    yield now, held
-                now, held = k, []
-            held.append(p)
-    if held:
-        yield now, held
-
-
 def _inverted(sets: DataFrame, ranges: int) -> DataFrame:
     """(bucket, payload): hashes that several classes have, back by class; and what only passes through."""
     import pyarrow as pa
 
     names = ["bucket", "payload"]
 
-    def by_bucket(kind, sig, n, hashes, owner, r, weight):
-        """Postings (owner: index into sig) as payloads by bucket."""
-        where = _bucket_of(sig, ranges)[owner]
-        o = np.lexsort((owner, where))
-        where, owner, hashes, weight = where[o], owner[o], hashes[o], weight[o]
+    def by_bucket(sig, n, h, r, weight):
+        """Postings as payloads by bucket."""
+        where = _bucket_of(sig, ranges)
+        o = np.lexsort((sig, where))
+        where, sig, n, h, weight = where[o], sig[o], n[o], h[o], weight[o]
         part = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         for a, z in zip(part, [*part[1:], len(where)], strict=True):
-            group = a + np.flatnonzero(np.concatenate([[True], owner[a + 1 : z] != owner[a : z - 1]]))
-            mine = owner[group]
-            yield int(where[a]), _pack(kind, sig[mine], n[mine], np.diff(group, append=z), *_halves(hashes[a:z]), np.full(z - a, r, np.uint16), weight[a:z])
+            group = a + np.flatnonzero(np.concatenate([[True], sig[a + 1 : z] != sig[a : z - 1]]))
+            yield int(where[a]), _pack(_FOUND, sig[group], n[group], np.diff(group, append=z), *_halves(h[a:z]), np.full(z - a, r, np.uint32), weight[a:z])
+
+    def shared(h, sig, n, marks):
+        """Of postings, those whose hash several classes have or that is marked, each class once, with weights."""
+        o = np.argsort(h)
+        h, sig, n = h[o], sig[o], n[o]
+        run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        length = np.diff(run_at, append=len(h))
+        marked = np.isin(h[run_at], marks)
+        chosen = np.repeat((length > 1) | marked, length)
+        flag = np.repeat(marked, length)[chosen]
+        h, sig, n = h[chosen], sig[chosen], n[chosen]
+        o = np.lexsort((sig, h))
+        h, sig, n, flag = h[o], sig[o], n[o], flag[o]
+        keep = np.ones(len(h), bool)  # the same class from several tasks
+        keep[1:] = (h[1:] != h[:-1]) | (sig[1:] != sig[:-1])
+        h, sig, n, flag = h[keep], sig[keep], n[keep], flag[keep]
+        run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        length = np.diff(run_at, append=len(h))
+        each = np.repeat(length, length)
+        chosen = (each > 1) | flag
+        weight = np.where(flag, _MARKED, np.minimum(np.where(each < 128, each, 120 + np.log2(np.maximum(each, 1)).astype(np.int64)), _MARKED - 1)).astype(np.uint8)
+        return sig[chosen], n[chosen], h[chosen], weight[chosen]
 
     def run(batches):
-        for r, payloads in _grouped(batches):
-            out, postings, marks, kept = [], [], [], []
-            for p in payloads:
+        postings, marks, r = [], [], 0
+        for b in batches:
+            for key, p in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
                 kind = p[0]
-                if kind == _DOCUMENTS:
-                    out.append((r, p))  # its range was its bucket
-                elif kind == _MARKS:
+                if kind == _MARKS:
                     marks.append(_whole(*_unpack(p, _LISTS[kind])[3:]))
-                elif kind == _FOUND:
-                    sig, n, count, low, high, _, weight = _unpack(p, _LISTS[kind])
-                    kept.append((sig, n, np.repeat(np.arange(len(sig)), count), _whole(low, high), weight))
-                else:
+                elif kind == _POSTINGS:
+                    r = key
                     postings.append(_unpack(p, _LISTS[kind]))
-            payloads.clear()
-            if postings:
-                sig_all, n_all = np.concatenate([p[0] for p in postings]), np.concatenate([p[1] for p in postings])
-                count = np.concatenate([p[2] for p in postings])
-                h = np.concatenate([_whole(p[3], p[4]) for p in postings])
-                postings.clear()
-                sig, firsts, of = np.unique(sig_all, return_index=True, return_inverse=True)
-                n = n_all[firsts]
-                owner = np.repeat(of.astype(np.int32), count)
-                del sig_all, n_all, count, of
-                o = np.argsort(h)
-                h, owner = h[o], owner[o]
-                del o
-                run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                length = np.diff(run_at, append=len(h))
-                marked = np.isin(h[run_at], np.concatenate(marks)) if marks else np.zeros(len(run_at), bool)
-                chosen = np.repeat((length > 1) | marked, length)
-                flag = np.repeat(marked, length)[chosen]
-                h, owner = h[chosen], owner[chosen]
-                o = np.lexsort((owner, h))
-                h, owner, flag = h[o], owner[o], flag[o]
-                keep = np.ones(len(h), bool)  # the same class from several tasks
-                keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                h, owner, flag = h[keep], owner[keep], flag[keep]
-                del o, keep, chosen
-                if len(h):
-                    run_at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                    length = np.diff(run_at, append=len(h))
-                    each = np.repeat(length, length)
-                    chosen = (each > 1) | flag
-                    weight = np.where(flag, _MARKED, np.minimum(np.where(each < 128, each, 120 + np.log2(np.maximum(each, 1)).astype(np.int64)), _MARKED - 1)).astype(np.uint8)
-                    if chosen.any():
-                        kept.append((sig, n, owner[chosen].astype(np.int64), h[chosen], weight[chosen]))
-            if kept:  # one payload a bucket, whatever it is put together from
-                first = np.cumsum([0, *(len(x[0]) for x in kept[:-1])])
-                owner = np.concatenate([x[2] + f for x, f in zip(kept, first, strict=True)])
-                sig, n, h, weight = (np.concatenate([x[i] for x in kept]) for i in (0, 1, 3, 4))
-                kept.clear()
-                out += by_bucket(_FOUND, sig, n, h, owner, r, weight)
-            for row in out:
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names=names)
-
-    return sets.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(run, "bucket int, payload binary")
-
-
-_CLASSES = "is_document boolean, doc_id long, sig long, n int, own int, shared array<long>, weights array<short>, profile array<short>"
+                else:  # its range was its bucket
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([p], pa.binary())], names=names)
+        marks = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
+        parts = -(-sum(len(p[3]) for p in postings) // _AT_ONCE)
+        for part in range(parts):
+            h, sig, n = [], [], []
+            for own, sizes, count, low, high in postings:
+                at = np.flatnonzero((low.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32) == part) if parts > 1 else np.arange(len(low))
+                owner = np.searchsorted(np.cumsum(count), at, side="right")
+                h.append(_whole(low[at], high[at]))
+                sig.append(own[owner])
+                n.append(sizes[owner])
+            found = shared(np.concatenate(h), np.concatenate(sig), np.concatenate(n), marks) if sum(map(len, h)) else ((),)
+            del h, sig, n
+            if len(found[0]):
+                sig, n, h, weight = found
+                for bucket, payload in by_bucket(sig, n, h, r, weight):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], names=names)
+
+    return sets.repartitionById(ranges, F.col("range")).mapInArrow(run, "bucket int, payload binary")
+
+
+_CLASSES = "is_document boolean, doc_id long, sig long, n int, own int, shared array<long>, weights array<short>, profile array<short>, parity array<long>"
 
 
 def _classes(found: DataFrame, ranges: int, threshold: Fraction) -> DataFrame:
@@ -345,47 +331,52 @@ def _classes(found: DataFrame, ranges: int, threshold: Fraction) -> DataFrame:
     p, q = threshold.numerator, threshold.denominator
 
     def run(batches):
-        for _, payloads in _grouped(batches):
-            docs = [_unpack(x, _LISTS[_DOCUMENTS]) for x in payloads if x[0] == _DOCUMENTS]
-            rows = [_unpack(x, _LISTS[_FOUND]) for x in payloads if x[0] == _FOUND]
-            payloads.clear()
-            if docs:
-                sig, n, _, ids, nulls = (np.concatenate(c) for c in zip(*docs, strict=True))
+        rows = []
+        for payload in (p for b in batches for p in b[1].to_pylist()):
+            if payload[0] == _FOUND:
+                rows.append(_unpack(payload, _LISTS[_FOUND]))
+            else:
+                sig, n, _, ids, nulls = _unpack(payload, _LISTS[_DOCUMENTS])
                 m = len(sig)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(ids, mask=nulls.astype(bool)), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int16())), pa.nulls(m, pa.list_(pa.int16()))], names=names)
-            if not rows:
-                continue
-            sig_all, n_all, count = (np.concatenate([x[i] for x in rows]) for i in range(3))
-            h = np.concatenate([_whole(x[3], x[4]) | x[5].astype(np.uint64) << np.uint64(48) for x in rows])
-            weight = np.concatenate([x[6] for x in rows])
-            sig, firsts, of = np.unique(sig_all, return_index=True, return_inverse=True)
-            n = n_all[firsts].astype(np.int64)
-            owner = np.repeat(of, count)
-            o = np.lexsort((h, weight, owner))
-            h, weight, owner = h[o], weight[o], owner[o]
-            keep = np.ones(len(h), bool)  # a frequent hash comes from each task that has the class
-            keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h, weight, owner = h[keep], weight[keep], owner[keep]
-            have = np.bincount(owner, minlength=len(sig))
-            own = n - have
-            good = own < n - -(-p * n // q) + 1
-            mine = good[owner]
-            h, weight, owner = h[mine], weight[mine], owner[mine]
-            which = np.flatnonzero(good)
-            ends = np.concatenate([[0], np.cumsum(have[which])])
-            for a in range(0, len(which), 2000):
-                w = which[a : a + 2000]
-                e = ends[a : a + len(w) + 1]
-                hs, ws = h[e[0] : e[-1]], weight[e[0] : e[-1]]
-                off = pa.array((e - e[0]).astype(np.int32))
-                at = np.repeat(np.arange(len(w)), np.diff(e))
-                profile = np.zeros((len(w), _PROFILE), np.int64)
-                np.add.at(profile, (at, (_mix(hs) % np.uint64(_PROFILE)).astype(np.int64)), 1)
-                profile = np.minimum(profile, 32767).astype(np.int16)
-                m = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), pa.nulls(m, pa.int64()), pa.array(sig[w].view(np.int64)), pa.array(n[w].astype(np.int32)), pa.array(own[w].astype(np.int32)), pa.ListArray.from_arrays(off, pa.array(hs.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(ws.astype(np.int16))), pa.ListArray.from_arrays(pa.array(np.arange(0, m * _PROFILE + 1, _PROFILE, dtype=np.int32)), pa.array(profile.ravel()))], names=names)
-
-    return found.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _CLASSES)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(ids, mask=nulls.astype(bool)), pa.array(sig.view(np.int64)), pa.array(n.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int16())), pa.nulls(m, pa.list_(pa.int16())), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+        if not rows:
+            return
+        sig_all, n_all, count = (np.concatenate([x[i] for x in rows]) for i in range(3))
+        h = np.concatenate([_whole(x[3], x[4]) ^ _mix(x[5].astype(np.uint64)) for x in rows])
+        weight = np.concatenate([x[6] for x in rows])
+        rows.clear()
+        sig, firsts, of = np.unique(sig_all, return_index=True, return_inverse=True)
+        n = n_all[firsts].astype(np.int64)
+        owner = np.repeat(of, count)
+        o = np.lexsort((h, weight, owner))
+        h, weight, owner = h[o], weight[o], owner[o]
+        keep = np.ones(len(h), bool)  # a frequent hash comes from each task that has the class
+        keep[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, weight, owner = h[keep], weight[keep], owner[keep]
+        have = np.bincount(owner, minlength=len(sig))
+        own = n - have
+        good = own < n - -(-p * n // q) + 1
+        mine = good[owner]
+        h, weight, owner = h[mine], weight[mine], owner[mine]
+        which = np.flatnonzero(good)
+        ends = np.concatenate([[0], np.cumsum(have[which])])
+        for a in range(0, len(which), 2000):
+            w = which[a : a + 2000]
+            e = ends[a : a + len(w) + 1]
+            hs, ws = h[e[0] : e[-1]], weight[e[0] : e[-1]]
+            off = pa.array((e - e[0]).astype(np.int32))
+            at = np.repeat(np.arange(len(w)), np.diff(e))
+            profile = np.zeros((len(w), _PROFILE), np.int64)
+            np.add.at(profile, (at, (_mix(hs) % np.uint64(_PROFILE)).astype(np.int64)), 1)
+            profile = np.minimum(profile, 32767).astype(np.int16)
+            odd = np.zeros(len(w) * _PARITY * 64, np.uint8)
+            np.add.at(odd, at * (_PARITY * 64) + (_mix(hs ^ _M3) % np.uint64(_PARITY * 64)).astype(np.int64), 1)  # wraps at 256, which is even
+            parity = np.packbits(odd & 1).view(np.int64)
+            m = len(w)
+            words = pa.ListArray.from_arrays(pa.array(np.arange(0, m * _PARITY + 1, _PARITY, dtype=np.int32)), pa.array(parity))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), pa.nulls(m, pa.int64()), pa.array(sig[w].view(np.int64)), pa.array(n[w].astype(np.int32)), pa.array(own[w].astype(np.int32)), pa.ListArray.from_arrays(off, pa.array(hs.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(ws.astype(np.int16))), pa.ListArray.from_arrays(pa.array(np.arange(0, m * _PROFILE + 1, _PROFILE, dtype=np.int32)), pa.array(profile.ravel())), words], names=names)
+
+    return found.repartitionById(ranges, F.col("bucket")).mapInArrow(run, _CLASSES)
 
 
 def _boundary(classes: DataFrame, threshold: float) -> int:
@@ -438,28 +429,37 @@ def _keys(classes: DataFrame, threshold: Fraction, bound: int) -> DataFrame:
 def _linked(spark: SparkSession, pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """Of pairs (a, b) of classes, those that link, with the size of their intersection. Staged."""
     pairs = staged(spark, pairs, "join-pairs")
-    sets = classes.select("sig", "n", "shared")
+    sets, sides = classes.select("sig", "n", "shared"), []
 
     def side(rows: DataFrame, name: str) -> DataFrame:
-        # a class in very many pairs is no hot key: the 64 heaviest at most are broadcast
+        # a class in very many pairs is no hot key: the heaviest are copied
         weights = pairs.groupBy(name).agg(F.count(F.lit(1)).alias("w")).withColumnRenamed(name, "sig")
         right = sets.join(weights, "sig").select(F.col("sig").alias(name), F.col("n").alias(f"n_{name}"), F.col("shared").alias(f"shared_{name}"), "w")
-        return lookup(rows, staged(spark, right, "join-side"), name, "w", at_most=64).drop("w")
+        sides.append(staged(spark, right, "join-side"))
+        return lookup_wide(rows, sides[-1], name, "w").drop("w")
 
     both = side(side(pairs, "a"), "b")
     common = F.size(F.array_intersect("shared_a", "shared_b"))
     p, q = threshold.numerator, threshold.denominator
     rows = both.withColumn("common", common).where(F.lit(q) * F.col("common") >= F.lit(p) * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return staged(spark, rows.select("a", "b", "common"), "join-links")
+    links = staged(spark, rows.select("a", "b", "common"), "join-links")
+    discard(spark, pairs, *sides)
+    return links
 
 
 def _may_link(x: str, y: str, threshold: Fraction) -> Column:
-    """Whether sizes, own hashes and profiles leave room for a link: the symmetric difference is at most (n + m)(1 - t)/(1 + t)."""
+    """Whether sizes, own hashes and profiles leave room for a link: the symmetric difference is at most (n + m)(1 - t)/(1 + t).
+
+    It is at least the number of classes of hashes whose parities differ, which costs a few instructions, and at least the sum
+    of what counts by class differ.
+    """
     p, q = threshold.numerator, threshold.denominator
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = F.aggregate(F.zip_with(F.col(f"{x}.profile"), F.col(f"{y}.profile"), lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, d: s + d)
+    own = F.col(f"{x}.own") + F.col(f"{y}.own")
+    uneven = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(_PARITY)])
     room = lambda d: F.lit(p + q) * d <= F.lit(q - p) * (n + m)
-    return (q * n >= p * m) & (q * m >= p * n) & room(F.col(f"{x}.own") + F.col(f"{y}.own")) & room(F.col(f"{x}.own") + F.col(f"{y}.own") + apart)
+    return (q * n >= p * m) & (q * m >= p * n) & room(own + uneven) & room(own + apart)
 
 
 def near_classes(spark: SparkSession, df: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)) -> tuple[DataFrame, DataFrame]:
@@ -468,19 +468,21 @@ def near_classes(spark: SparkSession, df: DataFrame, size: int = 5, threshold: F
     df: doc_id, text. Both results are staged tables.
     """
     ship(spark)
-    ranges = min(width(spark), 60_000)
     rows = columns_only(df, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    size_of_all = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(width(spark), -(-size_of_all // _RANGE_BYTES))
     table = staged(spark, _classes(_inverted(_sets(rows, size, ranges), ranges), ranges, threshold), "join-classes")
     documents = table.where("is_document").select("doc_id", "sig", "n")
     classes = table.where("not is_document").drop("is_document", "doc_id")
 
     bound = _boundary(classes, float(threshold))
     keys = _keys(classes, threshold, bound)
-    info = classes.select("sig", "n", "own", "profile")
+    info = classes.select("sig", "n", "own", "profile", "parity")
     keyed = staged(spark, keys.join(info.select("sig", (F.col("own") / F.col("n")).alias("share")), "sig"), "join-keys")
     lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("share", "sig")).alias("pivot")).where("m > 1")
     lists = staged(spark, lists.select("key", "m", F.col("pivot.sig").alias("pivot")), "join-lists")
     members = staged(spark, lookup(keyed.select("key", "sig"), lists, "key", "m").where("m is not null"), "join-members")
+    discard(spark, keyed, lists)
 
     pair = (F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
     first = _linked(spark, members.where("sig <> pivot").select(*pair).distinct(), classes, threshold)
@@ -493,9 +495,11 @@ def near_classes(spark: SparkSession, df: DataFrame, size: int = 5, threshold: F
     by_pivot = staged(spark, by_pivot.select("pivot", F.coalesce("pivot_root", "pivot").alias("pivot_root"), "w"), "join-pivots")
     rooted = lookup(rooted, by_pivot, "pivot", "w").withColumn("outside", F.col("root") != F.col("pivot_root"))
     rooted = staged(spark, rooted.select("key", "sig", "m", "root", "outside"), "join-rooted")
+    discard(spark, members)
     mixed = rooted.where("outside").groupBy("key").agg(F.count(F.lit(1)).alias("apart"))
     parts = F.ceil(F.col("m") / 512).cast("int")  # long lists are compared in parts
     spread = staged(spark, lookup(rooted, mixed, "key", "apart").where("apart is not null").join(info, "sig").withColumn("parts", parts), "join-apart")
+    discard(spark, rooted)
     x = spread.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     y = spread.withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).drop("parts")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.sig") < F.col("y.sig")))
@@ -505,7 +509,14 @@ def near_classes(spark: SparkSession, df: DataFrame, size: int = 5, threshold: F
 
 
 def near_components(spark: SparkSession, df: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id: the least doc_id reachable by links; documents with an empty set stand alone."""
+    """doc_id, n_shingles, component_id: the least doc_id reachable by links; documents with an empty set stand alone. Staged."""
+    with scratch(spark) as kept:
+        out = staged(spark, _near_components(spark, df, size, threshold), "near-components")
+        kept.append(out)
+    return out
+
+
+def _near_components(spark: SparkSession, df: DataFrame, size: int, threshold: Fraction) -> DataFrame:
     documents, links = near_classes(spark, df, size, threshold)
     classes = documents.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = components(spark, links.select("a", "b"))
