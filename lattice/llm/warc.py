@@ -3,10 +3,11 @@
 Reading plans one partition for each group of files. Predicates on the record type and on header columns
 are pushed down: a record's WARC header is parsed first, and where it is refused the block is passed over,
 in compressed archives of this writer without inflating it (each gzip member carries its own length in an
-"sl" extra field); foreign members are inflated and thrown away. Payloads are only decoded when asked for.
+extra field of this writer's); foreign members are inflated and thrown away. Payloads are only decoded when asked for.
 
 Writing gives one or more archives a task, each record a gzip member of its own. Files of failed or repeated
-attempts are never read: the driver's commit writes a manifest that names the files of the attempts that count.
+attempts are never read: the driver's commit writes a manifest that names the files of the attempts that count, one a job;
+the files of all manifests are the archive. Overwriting removes what earlier jobs wrote, once its own manifest is there.
 
 Files are opened through pyarrow's file systems, so any URI those know will do.
 """
@@ -36,6 +37,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 ROLL_BYTES = 64 << 20  # an archive is closed at this size
 _HEAD = 1 << 14
 _PAGE = "urn:lattice:page:"
+_LENGTHS = b"lt"  # the gzip subfield that holds a member's length and its data's, 64 bits each
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -49,10 +51,10 @@ def _filesystem(path: str):
 
 
 def gzip_member(data: bytes, level: int = 1) -> bytes:
-    """One gzip member with its whole length and the data's in an "sl" extra field."""
+    """One gzip member with its whole length and the data's in an extra field."""
     co = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = co.compress(data) + co.flush()
-    extra = b"sl" + struct.pack("<HQQ", 16, 12 + 20 + len(body) + 8, len(data))
+    extra = _LENGTHS + struct.pack("<HQQ", 16, 12 + 20 + len(body) + 8, len(data))
     return struct.pack("<BBBBIBBH", 31, 139, 8, 4, 0, 0, 255, len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -87,6 +89,18 @@ def page_id(record_id: str | None) -> int | None:
     return int(at) if re.fullmatch(r"-?\d+", at) else None
 
 
+def _manifests(fs, base: str) -> dict[str, list[str]]:
+    """The archives that each job wrote, by manifest."""
+    from pyarrow.fs import FileSelector
+
+    out = {}
+    for i in fs.get_file_info(FileSelector(base)):
+        if re.fullmatch(r"_manifest(-\w+)?\.json", i.base_name):
+            with fs.open_input_stream(f"{base}/{i.base_name}") as f:
+                out[i.base_name] = json.loads(f.read())
+    return out
+
+
 @dataclass
 class _Files(WriterCommitMessage):
     names: list[str]
@@ -95,8 +109,8 @@ class _Files(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows (page_id, url, payload, digest, refers_to, refers_to_url) to archives."""
 
-    def __init__(self, path: str, date: str, roll: int):
-        self.path, self.date, self.roll = path, date, roll
+    def __init__(self, path: str, date: str, roll: int, overwrite: bool = False):
+        self.path, self.date, self.roll, self.overwrite = path, date, roll, overwrite
 
     def write(self, iterator) -> _Files:
         fs, base = _filesystem(self.path)
@@ -119,8 +133,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[_Files | None]) -> None:
         fs, base = _filesystem(self.path)
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(f"{base}/_manifest.json") as f:
+        before = _manifests(fs, base) if self.overwrite else {}
+        with fs.open_output_stream(f"{base}/_manifest-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
+        for manifest, names in before.items():
+            fs.delete_file(f"{base}/{manifest}")
+            for n in names:
+                fs.delete_file(f"{base}/{n}")
 
     def abort(self, messages: list[_Files | None]) -> None:
         fs, base = _filesystem(self.path)
@@ -170,9 +189,15 @@ class _Member:
     def __init__(self, source: _Source):
         self.source, self.length = source, None
         self.used = 0
-        if source.need(16) and source.buf[source.at + 3] & 4 and source.buf[source.at + 12 : source.at + 14] == b"sl":
-            source.need(32)
-            self.length = struct.unpack_from("<Q", source.buf, source.at + 16)[0]
+        if source.need(12) and source.buf[source.at + 3] & 4:
+            extra = struct.unpack_from("<H", source.buf, source.at + 10)[0]
+            source.need(12 + extra)
+            at, end = source.at + 12, min(source.at + 12 + extra, len(source.buf))
+            while at + 4 <= end:
+                name, size = source.buf[at : at + 2], struct.unpack_from("<H", source.buf, at + 2)[0]
+                if name == _LENGTHS and size == 16 and at + 20 <= end:
+                    self.length = struct.unpack_from("<Q", source.buf, at + 4)[0]
+                at += 4 + size
         self.z, self.data = zlib.decompressobj(31), b""
 
     def upto(self, n: int) -> bytes:
@@ -288,9 +313,8 @@ class WarcReader(DataSourceReader):
 
         fs, base = _filesystem(self.path)
         there = {i.base_name: i.size or 0 for i in fs.get_file_info(FileSelector(base)) if re.search(r"\.warc(\.gz)?$", i.base_name)}
-        if fs.get_file_info(f"{base}/_manifest.json").is_file:
-            with fs.open_input_stream(f"{base}/_manifest.json") as f:
-                there = {n: there[n] for n in json.loads(f.read())}
+        if manifests := _manifests(fs, base):
+            there = {n: there[n] for names in manifests.values() for n in names}
         out, names, size = [], [], 0
         for n in sorted(there):
             if names and size + there[n] > self.split:
@@ -344,7 +368,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "none"), int(self.options.get("splitBytes", 16 << 20)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("rollBytes", ROLL_BYTES)))
+        return WarcWriter(self.options["path"], self.options.get("date", "1970-01-01T00:00:00Z"), int(self.options.get("rollBytes", ROLL_BYTES)), overwrite)
 
 
 def _register(spark: SparkSession) -> None:
