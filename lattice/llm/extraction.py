@@ -6,8 +6,10 @@ over the blocks in page order is trained on labelled pages by gradient steps on
 Viterbi. The text is the blocks labelled main, character references decoded, white space inside a block made one space,
 joined by line feeds.
 
-What is never text: comments, scripts, styles, heads, templates and the like. Null html is empty. Parsing is
-linear in the page's length; unclosed and crossed tags are handled as browsers do in the common cases.
+What is never text: comments, scripts, styles, heads, templates and the like. Null html is empty. What is not closed (a comment,
+a tag, a quoted value, a script) runs to the end of the page; crossed tags are handled as browsers do in the common
+cases. Every step is a search that ends where the next begins or a look at the innermost open elements, so that parsing is
+linear in the page's length, whatever is in it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import functools
 import html as entities
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,16 +28,19 @@ from lattice.llm.common import columns_only, rows_out, ship, text_of
 
 TRAINING_PAGES = 700  # the bound of the labelled sample
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = frozenset("script style title head noscript template iframe svg math object canvas audio video".split())
+_UNSEEN = frozenset("script style title head noscript template iframe svg object canvas audio video".split())
 _RAW = frozenset("script style title noscript iframe textarea".split())
+_PHRASING = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label map mark math object output q ruby rp rt s samp small span strike strong sub sup svg time tt u var html".split())
+_TAGS = _BLOCK | _VOID | _UNSEEN | _RAW | _PHRASING
 #: Tags that an opening tag closes, as far as one of the last set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+_CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in _RAW}
 
 
 @dataclass
@@ -53,28 +58,64 @@ class _Frame:
     main: bool
     unseen: bool
     link: bool
-    within: frozenset[str] = field(default_factory=frozenset)  # tags of this element and those around it
+    block: str  # the innermost block-level tag, of this element or around it
+    blocks: int  # how many block-level elements this is in, itself included
 
 
-_NO_FRAME = _Frame("", frozenset(), False, False, False)
+_NO_FRAME = _Frame("", frozenset(), False, False, False, "", 0)
+
+
+class _Open:
+    """The open elements, and for each tag where it is open."""
+
+    def __init__(self) -> None:
+        self.stack: list[_Frame] = []
+        self.at: dict[str, list[int]] = {}
+
+    @property
+    def top(self) -> _Frame:
+        return self.stack[-1] if self.stack else _NO_FRAME
+
+    def push(self, frame: _Frame) -> None:
+        self.at.setdefault(frame.tag, []).append(len(self.stack))
+        self.stack.append(frame)
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.at[self.stack.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """The depth of the innermost element with one of the tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def block_within(self, depth: int) -> bool:
+        """Whether a block-level element is open inside the element at this depth."""
+        return self.top.blocks > self.stack[depth].blocks
 
 
-@functools.lru_cache(maxsize=4096)
 def _names(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
-    found, main = {f"in:{tag}"}, False
+    """The features of an element's tag and names, and whether it is labelled main."""
+    return _short_names(tag, attributes) if len(attributes) <= 500 else _all_names(tag, attributes)
+
+
+def _all_names(tag: str, attributes: str) -> tuple[frozenset[str], bool]:
+    found, main = {f"in:{tag if tag in _TAGS else 'other'}"}, False
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         if m[1].lower() == "data-main":
             main = value == "1"
         else:
-            found |= {f"name:{w.lower()}" for w in _PART.findall(value)[:12]}
+            found |= {f"name:{w.lower()}" for w in _PART.findall(value)}
     return frozenset(found), main
 
 
-def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page, in order, without page-wide features."""
+_short_names = functools.lru_cache(maxsize=4096)(_all_names)
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page, in order, without page-wide features. Of ancestors' features, those that are known, if that is given."""
     out: list[Block] = []
-    stack: list[_Frame] = []
+    open_ = _Open()
     pieces: list[tuple[str, bool]] = []
     holder: list[_Frame] = [_NO_FRAME]
 
@@ -86,12 +127,11 @@ def blocks(page: str) -> list[Block]:
         if text:
             top = holder[0]
             linked = sum(len(p) for p, link in pieces if link) / max(1, len(raw))
-            own = next((f.tag for f in reversed(stack) if f.tag in _BLOCK), "")
-            out.append(Block(text, {*top.names, f"own:{own}"}, top.main, linked))
+            out.append(Block(text, {*top.names, f"own:{open_.top.block}"}, top.main, linked))
         pieces.clear()
 
     def add(text: str) -> None:
-        top = stack[-1] if stack else _NO_FRAME
+        top = open_.top
         if text and not top.unseen:
             if not pieces:
                 holder[0] = top
@@ -99,9 +139,6 @@ def blocks(page: str) -> list[Block]:
                     return
             pieces.append((text, top.link))
 
-    def pop_to(depth: int) -> None:
-        del stack[depth:]
-
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -115,53 +152,49 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), m[1] == "/"
         if closing:
-            if tag not in _VOID and stack and tag in stack[-1].within:
-                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag)
-                if tag in _BLOCK or not any(f.tag in _BLOCK for f in stack[depth + 1 :]):
+            depth = -1 if tag in _VOID else open_.last(tag)
+            if depth >= 0:
+                if tag in _BLOCK or not open_.block_within(depth):
                     if tag in _BLOCK:
                         flush()
-                    pop_to(depth)
+                    open_.pop_to(depth)
             elif tag in _BLOCK:
                 flush()
             continue
         if tag in _BLOCK:
             flush()
-            within = stack[-1].within if stack else frozenset()
-            if "p" in within and tag not in ("option", "select", "button", "textarea", "optgroup", "legend"):
-                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p")
-                if not any(f.tag in _BLOCK for f in stack[depth + 1 :]):
-                    pop_to(depth)
+            depth = open_.last("p")
+            if depth >= 0 and tag not in ("option", "select", "button", "textarea", "optgroup", "legend") and not open_.block_within(depth):
+                open_.pop_to(depth)
         if tag in _CLOSES:
             close, stop = _CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in close:
-                    flush()
-                    pop_to(i)
-                    break
+            depth = open_.last(*close)
+            if depth > open_.last(*stop):
+                flush()
+                open_.pop_to(depth)
         if tag == "br":
             add(" ")
         if tag in _VOID or m[3].endswith("/") and tag in ("path", "g", "use"):
             continue
         names, main = _names(tag, m[3])
-        top = stack[-1] if stack else _NO_FRAME
-        frame = _Frame(tag, top.names | names, main or top.main and tag not in _BLOCK, top.unseen or tag in _UNSEEN, top.link or tag == "a", top.within | {tag})
-        stack.append(frame)
+        top = open_.top
+        names = top.names | names if known is None else top.names | names & known
+        is_block = tag in _BLOCK
+        open_.push(_Frame(tag, names, main or top.main and not is_block, top.unseen or tag in _UNSEEN, top.link or tag == "a", tag if is_block else top.block, top.blocks + is_block))
         if tag in _RAW:
-            close_at = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            close_at = _CLOSE_RAW[tag].search(page, at)
             if tag == "textarea":
                 add(page[at : close_at.start() if close_at else end])
                 flush()
-            stack.pop()
+            open_.pop_to(len(open_.stack) - 1)
             at = close_at.end() if close_at else end
     flush()
     return out
 
 
-def featured(page: str) -> list[Block]:
-    """Blocks with all their features."""
-    found = blocks(page)
+def featured(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """Blocks with all their features; core elements are known in any case."""
+    found = blocks(page, known)
     core = {"in:article", "in:main"}
     has_core = any(core & b.features for b in found)
     n = len(found)
@@ -190,6 +223,7 @@ class ChainCRF:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, transitions: np.ndarray, start: np.ndarray, stop: np.ndarray):
         self.index, self.weights, self.transitions, self.start, self.stop = index, weights, transitions, start, stop
+        self.seen = frozenset(index) | {"in:article", "in:main"}
 
     def emissions(self, found: list[Block]) -> list[float]:
         index, weights = self.index, self.weights
@@ -214,7 +248,7 @@ class ChainCRF:
         return out[::-1]
 
     def extract(self, page: str) -> str:
-        found = featured(page)
+        found = featured(page, self.seen)
         return "\n".join(b.text for b, main in zip(found, self.decode(self.emissions(found)), strict=True) if main)
 
     @classmethod
