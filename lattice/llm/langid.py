@@ -120,12 +120,13 @@ def suffix_of(host: Column) -> Column:
 
 
 def declared_in(html: Column) -> Column:
-    tag = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
+    tag = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
     return F.when(tag != "", tag)
 
 
 def visible_text(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    """What is not markup. What is not closed runs to the end, and a tag to the next one, so no stretch is read twice."""
+    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>", " ")
 
 
 def identify(spark: SparkSession, rows: DataFrame, model: TextModel) -> DataFrame:
@@ -225,9 +226,12 @@ def document_rows(docs: DataFrame, *keys: Column) -> DataFrame:
 def accepted(spark: SparkSession, docs: DataFrame, model: TextModel) -> DataFrame:
     """The documents, all columns, without those that no language explains.
 
-    The rejected keys are staged; where they are few, Spark broadcasts them, else it joins by shuffle.
+    Documents are told apart by 128 bits of their content. The rejected keys are staged; where they are few, Spark
+    broadcasts them, else it joins by shuffle.
     """
-    doc_key = F.xxhash64("doc_id", "text", "lang", "source")
-    decided = identify(spark, document_rows(docs, doc_key.alias("key")), model)
-    rejected = staged(spark, decided.where(~F.col("accepted")).select(F.col("key").alias("__rejected")).distinct(), "langid-rejected")
-    return docs.join(rejected, doc_key == F.col("__rejected"), "left_anti")
+    content = ("doc_id", "text", "lang", "source")
+    keys = F.xxhash64(*content), F.xxhash64(F.lit("second"), *content)
+    decided = identify(spark, document_rows(docs, keys[0].alias("key"), keys[1].alias("key2")), model)
+    rejected = decided.where(~F.col("accepted")).select(F.col("key").alias("__rejected"), F.col("key2").alias("__rejected2")).distinct()
+    rejected = staged(spark, rejected, "langid-rejected")
+    return docs.join(rejected, (keys[0] == F.col("__rejected")) & (keys[1] == F.col("__rejected2")), "left_anti")

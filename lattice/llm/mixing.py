@@ -45,11 +45,14 @@ def targets(spark: SparkSession, sizes: DataFrame, weights: Sequence[float], sha
     return sources.select("source", "weight", "source_size", target.alias("target"), "n")
 
 
-def mix(spark: SparkSession, df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 42) -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    rows = columns_only(df, "doc_id", "text", "source")
+def mix(spark: SparkSession, df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: int = 42, told_by: str = "doc_id") -> DataFrame:
+    """doc_id, size, source_size, target (of its source), taken (words, repeats counted).
+
+    The hash-random key is a hash of the seed and the column `told_by`.
+    """
+    rows = columns_only(df, "text", "source", *dict.fromkeys(["doc_id", told_by]))
     size = F.regexp_count(text_of("text"), F.lit(WORD)).cast("long")
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{told_by}`").cast("string")))
     sizes = staged(spark, rows.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), key.alias("key")), "mix-sizes")
     named = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col("source"))).alias("named")
     goal = targets(spark, sizes, weights, share, epochs).select(named, "source_size", "target", "n")

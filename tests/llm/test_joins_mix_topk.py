@@ -146,9 +146,9 @@ def _brute_top(rows, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1024, 2])
+@pytest.mark.parametrize("block", [16 << 20, 64])
 def test_top_k_with_many_ties(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block)
     monkeypatch.setattr(topk, "_BINS", 8)
     rnd = random.Random(6)
     rows = [(i, [rnd.choice((0.5, 0.25, -0.125, 0.001))] * 2 + [0.1]) for i in range(0, 120)]
@@ -174,3 +174,35 @@ def test_lookup_spreads_rows_by_what_they_hold(spark):
     out = lookup(left, right, "key", "n", at_most=1)
     assert "monotonically_increasing_id" not in out._jdf.queryExecution().toString()  # it depends on the order of a task's rows
     assert sorted((r.id, r.v) for r in out.collect()) == [(i, [None, "HOT", "HOT", f"K{i}"][i % 4]) for i in range(200)]
+
+
+def test_top_k_with_ids_of_all_64_bits(spark):
+    rnd = random.Random(2)
+    ids = [-(2**63), 2**63 - 1, 7 * 10**18, -7 * 10**18, 0, -1, *(rnd.randrange(-(2**63), 2**63) for _ in range(60))]
+    rows = [(i, [rnd.choice((0.5, 0.25)), 0.5]) for i in ids]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(spark, topk.quantized(df), F.col("vec_id").isin(ids[:6]), 5).collect()
+    v = {i: [math.floor(1024 * x) for x in e] for i, e in rows}
+    expected = [(q, n + 1, i, -s) for q in ids[:6] for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)[:5])]
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_what_passes_64_bits_is_refused(spark):
+    for x in (1e17, 1e12):
+        df = spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(spark, topk.quantized(df), F.col("vec_id") == 0).collect()
+
+
+def test_wide_lookup_and_parts_of_a_range(spark, monkeypatch):
+    from lattice.llm.common import lookup_wide
+
+    left = spark.createDataFrame([(i, [None, "hot", "hot", f"k{i}"][i % 4]) for i in range(200)], "id long, key string")
+    right = left.where("key is not null").groupBy("key").count().selectExpr("key", "count as n", "upper(key) as v")
+    assert sorted((r.id, r.v) for r in lookup_wide(left, right, "key", "n").collect()) == [(i, [None, "HOT", "HOT", f"K{i}"][i % 4]) for i in range(200)]
+    assert lookup_wide(left.limit(0), right.limit(0), "key", "n").count() == 0
+    monkeypatch.setattr(ngram_join, "_AT_ONCE", 50)
+    rows = list(enumerate(_near_texts(11, 20, 5)))
+    rows.append((999, " ".join(f"long{i}" for i in range(60_000))))  # a very long text
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)

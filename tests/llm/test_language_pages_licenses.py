@@ -1,6 +1,8 @@
 """Classifiers on held-out data, and licence scans against a plain comparison."""
 
+import math
 import random
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -29,6 +31,59 @@ def test_held_out_accuracy_and_rejection(spark):
     assert kept.columns == test.columns and kept.count() == 92
 
 
+def _plain_posteriors(model, rows):
+    """What `identify` finds for (host, declared, text) rows, written out: the best class and its posterior."""
+    m, fold = len(model.langs), langid._fold()
+
+    def score(text):
+        out = [0.0] * (m + 1)
+        c = [int(fold[ord(x)]) for x in f" {text} "]
+        for x, y, z in zip(c, c[1:], c[2:], strict=False):
+            h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 16
+            out = [o + float(w) for o, w in zip(out, model.weights[h], strict=True)]
+        return [o * min(1, 60 / max(1, len(text))) for o in out]
+
+    ll = [score(t or "") for _, _, t in rows]
+    p = [[math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v] for v in ll]
+    whole = [sum(v[i] for v in p) + 1 for i in range(m)]
+    base = [x / sum(whole) for x in whole]
+    values = {d for _, d, _ in rows if d}
+    sizes = [sum(v[i] for v, r in zip(p, rows, strict=True) if r[1]) for i in range(m)]
+    out = []
+    for (host, declared, _), v, mine in zip(rows, ll, p, strict=True):
+        prior = base
+        if host is not None:
+            own = [max(0.0, sum(q[i] for q, r in zip(p, rows, strict=True) if r[0] == host) - mine[i]) for i in range(m)]
+            prior = [(c + 8 * b) / (sum(own) + 8) for c, b in zip(own, base, strict=True)]
+        d = [0.0] * m
+        if declared:
+            d = [math.log((sum(q[i] for q, r in zip(p, rows, strict=True) if r[1] == declared) + 10 / (len(values) + 1)) / (sizes[i] + 10)) for i in range(m)]
+            d = [x - sum(d) / m for x in d]
+        post = [math.log(prior[i]) + math.log(0.99) + v[i] + d[i] for i in range(m)] + [math.log(0.01) + v[m]]
+        best = max(post)
+        out.append(([*model.langs, "und"][post.index(best)], 1 / sum(math.exp(x - best) for x in post)))
+    return out
+
+
+def test_posteriors_against_a_plain_version(spark):
+    model = langid.fit(_labelled(spark))
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["s0", "s1", None]), rnd.choice(["en", "de", None, "xx"]), " ".join(rnd.choice(WORDS[rnd.choice(list(WORDS))]) for _ in range(rnd.randint(0, 6)))) for _ in range(40)]
+    rows += [("s2", None, "#%&!" * 40), ("s0", "en", None), ("s1", "de", "der " * 30_000), *[("s0", "en", "the and of")] * 3]
+    df = spark.createDataFrame([(i, t, d, h) for i, (h, d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in langid.identify(spark, langid.document_rows(df, F.col("doc_id")), model).collect()}
+    for i, (lang, confidence) in enumerate(_plain_posteriors(model, rows)):
+        assert got[i].lang == lang and abs(got[i].confidence - confidence) < 1e-4 and got[i].accepted == (lang != "und")
+
+
+def test_markup_without_end_takes_no_longer(spark):
+    pages = [(i, "http://h/", x * (1_000_000 // len(x))) for i, x in enumerate(("<!-- a ", "<script ", "<html ", "<a <", "</script", "<style>x"))]
+    began = time.monotonic()
+    rows = langid.page_rows(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == len(pages) and time.monotonic() - began < 30
+
+
 def test_host_and_markup_decide_where_text_does_not(spark):
     model = langid.fit(_labelled(spark))
     german = " ".join(WORDS["de"] * 4)
@@ -64,6 +119,47 @@ def test_extraction_of_pages(spark):
     assert all(r.text == "" and r.n_chars == 0 for r in got if r.page_id > 1)
 
 
+def test_parsing_is_linear():
+    crf = extraction.trained()
+    hard = ["<a " * 330_000, "<a '\"" * 200_000, "<!-- a " * 140_000, "<div>" * 80_000 + "</b>" * 150_000, "<b>" + "<div>" * 90_000 + "x</b>" * 100_000, "".join(f"<x{i}>" for i in range(100_000))]
+    hard += ["".join(f"<div class='c{i} k{i}'>t" for i in range(40_000)), "<i>" * 100_000 + "<p>x</p>y" * 60_000, "<ul><li>" + "<div>" * 60_000 + "<li>a" * 100_000, "<script>" + "</script " * 100_000, "<p class" + " class" * 150_000 + ">", "<p a=" + " " * 900_000]
+    for page in hard:
+        began = time.monotonic()
+        crf.extract(page)
+        assert time.monotonic() - began < 20, page[:40]
+
+
+def test_pieces_of_markup():
+    texts = lambda page: [b.text for b in extraction.blocks(page)]
+    assert texts("<p>a <math><mi>x</mi></math> b<p it's fine>c</p>d<p title='1 > 0'>e") == ["a x b", "c", "d", "e"]
+    assert texts("<p>a<!-- open <p>b") == ["a"] and texts("<p>1 < 2 and 3 <b>4</b></p>") == ["1 < 2 and 3 4"]
+    many = " ".join(f"word{chr(97 + i)}" for i in range(20))
+    assert "name:wordt" in extraction.blocks(f"<div class='{many}'>x</div>")[0].features
+
+
+#: Pages written by hand, not from the grammar of the labelled pages: (html, main text).
+BY_HAND = [
+    ("<body><div id=top><a href=/>Start</a> | <a href=/n>News</a></div><article><h1>Rain in May</h1><p>It rained on most days of the month, and the river rose.</p><p>Farmers were glad of it.</p></article><footer>Copyright 2021</footer></body>", "Rain in May\nIt rained on most days of the month, and the river rose.\nFarmers were glad of it."),
+    ("<main><h2>How to bake bread</h2><ol><li>Mix flour, water and salt.</li><li>Wait for two hours.</li></ol><p>Then bake it until it is brown, for about forty minutes.</p></main><aside><h3>More recipes</h3><ul><li><a href=/1>Soup</a></li></ul></aside>", "How to bake bread\nMix flour, water and salt.\nWait for two hours.\nThen bake it until it is brown, for about forty minutes."),
+    ("<header><nav><a href=/>Home</a><a href=/s>Shop</a></nav></header><div class='post'><h1>A long walk</h1><p>We set out before dawn, as the road was long.</p><blockquote>Nobody knew the way.</blockquote><p>By night we were home again.</p></div><div class='comments'><p>Nice post, thanks!</p></div>", "A long walk\nWe set out before dawn, as the road was long.\nNobody knew the way.\nBy night we were home again."),
+    ("<div class='cookie-notice'>We use cookies.</div><section class='content'><h1>Council meets</h1><p>The council met on Tuesday to discuss the new bridge, which is to open in spring.</p><table><tr><td>Cost</td><td>3 million</td></tr></table></section><form><input name=q><button>Search</button></form>", "Council meets\nThe council met on Tuesday to discuss the new bridge, which is to open in spring.\nCost\n3 million"),
+]
+
+
+def test_pages_from_outside_the_grammar():
+    right = wrong = missed = 0
+    for page, expected in BY_HAND:
+        got, want = Counter(extraction.trained().extract(page).split("\n")), Counter(expected.split("\n"))
+        right += (got & want).total()
+        wrong += (got - want).total()
+        missed += (want - got).total()
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.9
+
+
+def test_no_pages(spark):
+    assert extraction.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_viterbi_is_the_best_of_all_labellings():
     from itertools import product
 

@@ -56,6 +56,50 @@ def test_mixture_cuts_at_the_word(spark):
     assert all(by_source[s] <= 2 * sizes[s] for s in sizes)
 
 
+def _plain_encoding(text, key, dropout=0.1):
+    """The agenda on a whole text, one merge at a time: the best candidate, then the leftmost, unless its hash skips it for good."""
+    import sentencepiece
+    from lattice.llm.queries import tokenizer_path
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    mask = 2**64 - 1
+
+    def skipped(a, b, c):
+        h = (key + a * 0x9E3779B97F4A7C15 + b * 0xBF58476D1CE4E5B9 + c * 0x94D049BB133111EB) & mask
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return (h >> 11) / 2**53 < dropout
+
+    def piece(t):
+        i = sp.piece_to_id(t)
+        return None if sp.is_unknown(i) or sp.is_byte(i) or sp.is_control(i) or sp.is_unused(i) else i
+
+    symbols = [(i, i + 1, c) for i, c in enumerate(" " + text)] if text else []
+    shown = [c if c == " " or c != "▁" and piece(c) is not None else None for _, _, c in symbols]  # None: spelled in bytes
+    symbols = [(a, b, "▁" if s == " " else s, c) for (a, b, c), s in zip(symbols, shown, strict=True)]
+    while True:
+        found = []
+        for i, (x, y) in enumerate(zip(symbols, symbols[1:], strict=False)):
+            if x[2] and y[2] and (p := piece(x[2] + y[2])) is not None and not skipped(x[0], y[0], y[1]):
+                found.append((-sp.get_score(p), i))
+        if not found:
+            break
+        i = min(found)[1]
+        symbols[i : i + 2] = [(symbols[i][0], symbols[i + 1][1], symbols[i][2] + symbols[i + 1][2], "")]
+    return [j for _, _, s, c in symbols for j in ([piece(s)] if s else [sp.piece_to_id(f"<0x{b:02X}>") for b in c.encode()])]
+
+
+def test_tokens_against_a_plain_agenda(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, lang, s) for i, t, lang, s in _corpus() if i != 5][:12] + [(300, "Übergrößen ▁ und 漢字\n\n  twice  spaced, naïve words 😀", "de", "s"), (301, None, None, None), (302, "", "en", "s"), (303, "a", "en", "s"), (303, "a", "en", "s")]
+    docs = _docs(spark, rows)
+    keys = {(r.doc_id, r.text): r.k for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(42), F.lit(0), "doc_id", F.coalesce("text", F.lit(""))).alias("k")).collect()}
+    got = Counter((r.doc_id, tuple(r.ids), r.n_tokens) for r in pipe.tokens(spark, docs, "").collect())
+    plain = [(i, _plain_encoding(t or "", keys[i, t or ""] & (2**64 - 1))) for i, t, _, _ in rows]
+    assert got == Counter((i, tuple(ids), len(ids)) for i, ids in plain)
+
+
 def test_empty_tables_pass(spark):
     docs = _docs(spark, [])
     for _, stage in pipe.STAGES:
