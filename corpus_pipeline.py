@@ -1,8 +1,8 @@
 """A corpus pipeline of four stages over `documents`: language, near duplicates, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as Parquet before the next one
-reads it. Rows are told apart by a hash of their content, so repeated ids do no harm; rows that repeat in all columns are
-one document. Empty tables pass through.
+reads it. Ids may repeat or be null: the stages that join number the rows of a staged copy. Rows that repeat in all columns
+are documents of their own, of which near duplicates keep one where they have words. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -13,23 +13,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattice.llm import dropout, langid, mixing, ngram_join
-from lattice.llm.common import lookup, new_path, staged
+from lattice.llm.common import lookup, new_path, scratch, staged
 from lattice.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _key() -> Column:
-    return F.xxhash64("doc_id", "text", "lang", "source", "n_chars")
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """A staged copy of the documents, each row with a number of its own."""
+    return staged(spark, docs.select(*COLUMNS).withColumn("key", F.monotonically_increasing_id()), "pipeline-rows")
 
 
-def _without_repeats(spark: SparkSession, docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """docs with each key once; counts has (key, n). Texts are only shuffled where rows do repeat."""
-    repeated = staged(spark, counts.where("n > 1").select(F.col("key").alias("__k")), "pipeline-repeated")
-    if repeated.isEmpty():
-        return docs
-    once = docs.join(repeated, F.col("key") == F.col("__k"), "left_anti")
-    return once.unionByName(docs.join(repeated, F.col("key") == F.col("__k"), "left_semi").dropDuplicates(["key"]))
+def _content() -> Column:
+    """Names the same document on every run, whatever its row's number."""
+    return F.concat_ws(":", *[F.xxhash64(F.lit(i), *COLUMNS).cast("string") for i in (1, 2)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,25 +36,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents stays: the one with the least id. Documents without words stay."""
-    docs = docs.select(*COLUMNS).withColumn("key", _key())
-    ids = staged(spark, docs.groupBy("key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "pipeline-ids")
+    docs = _numbered(spark, docs)
     groups = ngram_join.near_components(spark, docs.select(F.col("key").alias("doc_id"), "text"), size=5, threshold=Fraction(4, 5))
-    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
-    groups = staged(spark, groups.join(ids, "key"), "pipeline-groups")
-    first = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"), F.count(F.lit(1)).alias("members"))
+    groups = groups.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    ids = docs.select(F.col("key").alias("of"), F.col("doc_id").alias("id"), _content().alias("content"))
+    groups = staged(spark, groups.join(ids, F.col("key") == F.col("of")).drop("of"), "pipeline-groups")
+    order = F.struct(F.col("id").isNull(), "id", "content", "key")
+    first = groups.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("members"))
     first = first.where("members > 1").select("group", F.col("first.key").alias("stays"), "members")
-    goes = lookup(groups, first, "group", "members").where("key <> stays").select(F.col("key").alias("__goes"))
-    kept = _without_repeats(spark, docs, ids).join(staged(spark, goes, "pipeline-goes"), F.col("key") == F.col("__goes"), "left_anti")
-    return kept.select(*COLUMNS)
+    goes = lookup(groups, first, "group", "members").where("key <> stays").select(F.col("key").alias("goes"))
+    return docs.join(staged(spark, goes, "pipeline-goes"), F.col("key") == F.col("goes"), "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a document once for each time it is taken whole, and the words that are left where a budget cuts it."""
-    docs = docs.select(*COLUMNS).withColumn("key", _key())
-    taken = mixing.mix(spark, docs.select(F.col("key").alias("doc_id"), "text", "source"))
-    taken = taken.groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    taken = staged(spark, taken, "pipeline-taken")
-    rows = _without_repeats(spark, docs, taken).join(taken.where("taken > 0").drop("n"), "key")
+    docs = _numbered(spark, docs)
+    taken = mixing.mix(spark, docs.select(F.col("key").alias("doc_id"), "text", "source", _content().alias("content")), told_by="content")
+    rows = docs.join(taken.where("taken > 0").select(F.col("doc_id").alias("of"), "size", "taken"), F.col("key") == F.col("of"))
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     none = F.lit(None).cast("int")
     rows = rows.withColumn("limit", F.explode(F.concat(F.array_repeat(none, whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))))
@@ -83,7 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
 
