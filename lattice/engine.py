@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattice.errors import LimitExceeded, UnknownSource
 from lattice.operators.flat import lower, predicate
 from lattice.operators.pivot import PivotLimits, PivotQuery, PivotResult, run_pivot, validate_pivot
-from lattice.operators.tree import TreeResult, run_tree
+from lattice.operators.tree import Prepared, TreeResult, prepare, run_tree
 from lattice.plans.query import Limits, Query, Valid, check_filter, validate
 from lattice.policy import Policy
 from lattice.types import Field, Schema, propose, shaped
@@ -48,6 +48,7 @@ class Engine:
         self.count_ttl, self.max_tree_rows = count_ttl, max_tree_rows
         self.sources: dict[str, Source] = {}
         self._counts: dict[tuple[str, str], tuple[float, int]] = {}
+        self._trees: dict[tuple[str, str], Prepared] = {}
 
     def register(self, name: str, df: DataFrame, schema: Schema | None = None, unique: tuple[str, ...] = (), policy: Policy = Policy()) -> Source:
         """Load or replace a source. Without a schema one is proposed; columns that have no type are named in left_out."""
@@ -64,8 +65,9 @@ class Engine:
         self.notify_changed(name)
 
     def notify_changed(self, name: str) -> None:
-        """The source's data has changed: remembered counts go."""
+        """The source's data has changed: remembered counts and prepared trees go."""
         self._counts = {k: v for k, v in self._counts.items() if k[0] != name}
+        self._trees = {k: v for k, v in self._trees.items() if k[0] != name}
 
     def _source(self, name: str) -> Source:
         if name not in self.sources:
@@ -91,9 +93,10 @@ class Engine:
         where, q = self._where(s), valid.query
         df = s.df if where is None else s.df.where(predicate(where))
         if q.tree:
-            if (n := df.count()) > self.max_tree_rows:
-                raise LimitExceeded(f"{n} rows; a tree has {self.max_tree_rows} at most")
-            t = run_tree(df, valid, s.schema)
+            key = (q.source, json.dumps([q.tree.key, q.tree.parent, q.tree.scope], sort_keys=True, default=str))
+            if key not in self._trees:
+                self._trees[key] = prepare(df, valid, self.max_tree_rows)
+            t = run_tree(df, valid, s.schema, self._trees[key])
             return Result(t.df, valid.output, t.all_rows, None, lambda n: None, t)
         out, rows = lower(df, valid, s.schema, s.unique)
         key = (q.source, json.dumps([q.filter, q.group, [vars(a) for a in q.aggregate] if q.group else []], sort_keys=True, default=str))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lattice.functions.collation import collated
 from lattice.plans.query import Aggregate, Query, Sort, Valid
+from lattice.runtime import with_rank
 from lattice.types import INT64, UTF8, Schema, Type, column_of
 
 _COMPARE = {"eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v}
@@ -76,7 +77,17 @@ def grouped(df: DataFrame, q: Query, schema: Schema) -> DataFrame:
     return df.select(*q.group).distinct() if q.group else df
 
 
-def page(df: DataFrame, q: Query) -> DataFrame:
+#: Beyond this offset a page is found by position: a plain offset brings all rows before the page into one task.
+DEEP_OFFSET = 10_000
+
+
+def page(df: DataFrame, q: Query, order: list[Column]) -> DataFrame:
+    """The rows of the page, in the order."""
+    if order and q.offset and q.offset > DEEP_OFFSET:
+        at = F.col("__position")
+        here = with_rank(df, *order, name="__position").where(at >= q.offset)
+        return (here if q.limit is None else here.where(at < q.offset + q.limit)).orderBy(at).drop("__position")
+    df = df.orderBy(*order) if order else df
     df = df.offset(q.offset) if q.offset else df
     return df.limit(q.limit) if q.limit is not None else df
 
@@ -87,8 +98,8 @@ def lower(df: DataFrame, valid: Valid, schema: Schema, unique: tuple[str, ...] =
     rows = df if valid.filter is None else df.where(predicate(valid.filter))
     rows = grouped(rows, q, schema)
     names = [f.name for f in valid.output]
-    out = rows
+    order = []
     if q.sort:
         ties = [n for n in (q.group if q.group or q.aggregate else unique) if n in rows.columns and n not in {s.field for s in q.sort}]
-        out = out.orderBy(*sort_keys(df.sparkSession, q.sort), *[F.col(n).asc_nulls_last() for n in ties])
-    return page(out, q).select(*names), rows
+        order = [*sort_keys(df.sparkSession, q.sort), *[F.col(n).asc_nulls_last() for n in ties]]
+    return page(rows, q, order).select(*names), rows

@@ -120,18 +120,27 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
     aggs = [aggregate(v.aggregate, schema) for v in p.values]
     n = len(p.rows)
     in_total = [F.grouping(r).cast("int").alias(f"__g{i}") for i, r in enumerate(p.rows)]
+    by = {s.field: s for s in p.sort}
+    # A level that is sorted by a measure needs it over whole rows: one more set a level, without the column dimensions.
+    whole = [i for i, r in enumerate(p.rows) if p.columns and r in by and by[r].by]
     if p.rows:
-        sets = [[*p.rows[:k], *p.columns] for k in range(n + 1)]
+        sets = [*([*p.rows[:k], *p.columns] for k in range(n + 1)), *(list(p.rows[: i + 1]) for i in whole)]
+        in_total += [F.grouping(p.columns[0]).cast("int").alias("__whole")] if whole else []
         cells = rows.groupingSets([[F.col(c) for c in s] for s in sets], *p.rows, *p.columns).agg(*aggs, *in_total)
     elif p.columns:
         cells = rows.groupBy(*p.columns).agg(*aggs)
     else:
         cells = rows.agg(*aggs)
     level = F.lit(n) - reduce(lambda a, b: a + b, [F.col(f"__g{i}") for i in range(n)], F.lit(0))
-    cells = staged(cells.withColumn("__level", level.cast("int")).limit(limits.max_cells + 1), "pivot-cells")
-    n_cells = cells.count()
-    if n_cells > limits.max_cells:
+    cells = cells.withColumn("__level", level.cast("int"))
+    cells = cells if whole else cells.withColumn("__whole", F.lit(0))
+    most = limits.max_cells * (1 + len(whole))  # a set of whole rows has no more rows than there are cells
+    cells = staged(cells.limit(most + 1), "pivot-cells")
+    n_cells, n_all = cells.agg(F.count_if(F.col("__whole") == 0), F.count(F.lit(1))).first()
+    if n_cells > limits.max_cells or n_all > most:
         raise LimitExceeded(f"more than {limits.max_cells} cells")
+    wholes = cells.where("__whole = 1") if whole else cells
+    cells = cells.where("__whole = 0").drop("__whole")
 
     # The columns that occur, in order, with nulls last, and the grand total's cells: at most max_columns rows.
     top = cells.where("__level = 0").select(*p.columns, *aliases)
@@ -148,7 +157,8 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
     else:
         cells = cells.withColumn("__column", F.lit(0))
 
-    columns = [{"name": f"{a}_{i}", "path": list(k), "measure": a} for i, k in enumerate(paths) for a in aliases]
+    shown = {v.aggregate.alias: {"calc": v.calc} if v.calc else {} for v in p.values}
+    columns = [{"name": f"{a}_{i}", "path": list(k), "measure": a} | shown[a] for i, k in enumerate(paths) for a in aliases]
     wide = [F.first(F.when(F.col("__column") == i, F.col(a)), ignorenulls=True).alias(f"{a}_{i}") for i in range(len(paths)) for a in aliases]
     flags = [f"__g{i}" for i in range(n)]
     out = cells.groupBy(*p.rows, *flags, "__level").agg(*wide) if wide else cells.select(*p.rows, *flags, "__level").distinct()
@@ -159,14 +169,12 @@ def run_pivot(df: DataFrame, p: PivotQuery, schema: Schema, where: Any, limits:
 
     # Each level in the order of its values, or of a measure over the whole row; a subtotal after its members.
     order: list[Column] = []
-    by = {s.field: s for s in p.sort}
     for i, r in enumerate(p.rows):
         order.append(F.col(f"__g{i}").asc())
         s = by.get(r)
         if s and s.by:
-            spec = next(v.aggregate for v in p.values if v.aggregate.alias == s.by)
             prefix = p.rows[: i + 1]
-            level_rows = rows.groupBy(*prefix).agg(aggregate(spec, schema).alias(f"__by{i}")).withColumnsRenamed({c: f"__{c}" for c in prefix})
+            level_rows = wholes.where(F.col("__level") == i + 1).select(*[F.col(c).alias(f"__{c}") for c in prefix], F.col(s.by).alias(f"__by{i}"))
             out = out.join(level_rows, (F.col("__level") > i) & _same(prefix, level_rows), "left").drop(*[f"__{c}" for c in prefix])
             order.append(F.col(f"__by{i}").desc_nulls_last() if s.descending else F.col(f"__by{i}").asc_nulls_last())
             order.append(F.col(r).asc_nulls_last())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattice.errors import DataError
+from lattice.errors import DataError, LimitExceeded
 from lattice.operators.flat import aggregate, page, predicate, sort_keys
 from lattice.plans.query import Valid
 from lattice.runtime import staged, with_rank
@@ -22,24 +24,43 @@ class TreeResult:
 
     df: DataFrame
     all_rows: DataFrame
-    matches: int
+    count: Callable[[], int]
     orphans: int
     aggregates: DataFrame | None = None
 
+    @cached_property
+    def matches(self) -> int:
+        """How many rows in scope match, counted when asked for."""
+        return self.count()
 
-def _nodes(df: DataFrame, valid: Valid) -> tuple[DataFrame, int]:
-    """Rows in scope with key, resolved parent (null for roots and orphans) and match; and how many are orphans."""
+
+@dataclass
+class Prepared:
+    """What a tree's queries share: rows in scope with key, resolved parent (null for roots and orphans) and number of children."""
+
+    rows: DataFrame
+    n: int
+    orphans: int
+
+
+def prepare(df: DataFrame, valid: Valid, at_most: int | None = None) -> Prepared:
+    """Checks keys and cycles, resolves parents and counts children; it depends on the source, the scope and the two fields only."""
     t = valid.query.tree
     rows = df if valid.scope is None else df.where(predicate(valid.scope))
-    match = F.lit(True) if valid.filter is None else F.coalesce(predicate(valid.filter), F.lit(False))
-    rows = rows.withColumns({_K: F.col(t.key), "__named": F.col(t.parent), _M: match})
+    if at_most is not None and (n := df.count()) > at_most:
+        raise LimitExceeded(f"{n} rows; a tree has {at_most} at most")
+    rows = rows.withColumns({_K: F.col(t.key), "__named": F.col(t.parent)})
     twice = rows.where(F.col(_K).isNotNull()).groupBy(_K).count().where("count > 1").orderBy(_K).first()
     if twice:
         raise DataError(f"the key {twice[0]!r} is not unique")
     keys = rows.where(F.col(_K).isNotNull()).select(F.col(_K).alias(_P))
-    rows = staged(rows.join(keys, F.col("__named") == F.col(_P), "left"), "tree-nodes")
-    orphans = rows.where(F.col("__named").isNotNull() & F.col(_P).isNull()).count()
-    return rows, orphans
+    rows = rows.join(keys, F.col("__named") == F.col(_P), "left")
+    counts = rows.where(F.col(_P).isNotNull()).groupBy(F.col(_P).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    rows = rows.join(counts, F.col(_K) == F.col("__of"), "left").withColumn("__children", F.coalesce("__n", F.lit(0).cast("bigint")))
+    rows = staged(rows.drop("__of", "__n"), "tree-nodes")
+    n, orphans = rows.agg(F.count(F.lit(1)), F.count_if(F.col("__named").isNotNull() & F.col(_P).isNull())).first()
+    _check_cycles(rows)
+    return Prepared(rows, n, orphans)
 
 
 def _check_cycles(rows: DataFrame) -> None:
@@ -73,24 +94,27 @@ def _visible(rows: DataFrame, filtered: bool) -> DataFrame:
     return staged(marked.where(F.col(_M) | F.col("__a").isNotNull()).drop("__a"), "tree-visible")
 
 
-def run_tree(df: DataFrame, valid: Valid, schema: Schema) -> TreeResult:
+def run_tree(df: DataFrame, valid: Valid, schema: Schema, prepared: Prepared | None = None) -> TreeResult:
     q, spark = valid.query, df.sparkSession
-    t = q.tree
-    rows, orphans = _nodes(df, valid)
-    _check_cycles(rows)
-    matches = rows.where(_M).count()
-    shown = _visible(rows, valid.filter is not None)
+    t, filtered = q.tree, valid.filter is not None
+    prepared = prepared or prepare(df, valid)
+    rows = prepared.rows.withColumn(_M, F.coalesce(predicate(valid.filter), F.lit(False)) if filtered else F.lit(True))
+    count = (lambda: rows.where(_M).count()) if filtered else (lambda: prepared.n)
+    shown = _visible(rows, filtered)
     keys = [*sort_keys(spark, q.sort), F.col(_K).asc_nulls_last()]
     names = [f.name for f in valid.output]
     if t.flat:
-        return _flat(shown, valid, keys, names, matches, orphans)
-    here = shown.where(F.col(_P).isNull() if valid.under is None else F.col(_P) == column_of(valid.under, schema.field(t.key).type))
-    children = shown.where(F.col(_P).isNotNull()).groupBy(F.col(_P).alias("__of")).agg(F.count(F.lit(1)).alias("__children"))
-    here = here.join(children, F.col(_K) == F.col("__of"), "left").withColumn("__children", F.coalesce("__children", F.lit(0).cast("bigint")))
-    level = staged(here.withColumn("__matched", F.col(_M)), "tree-level")
-    out = page(level.orderBy(*keys), q).select(*names, "__children", "__matched")
+        return _flat(shown, valid, keys, names, count, prepared.orphans)
+    level = shown.where(F.col(_P).isNull() if valid.under is None else F.col(_P) == column_of(valid.under, schema.field(t.key).type))
+    if filtered:
+        children = shown.where(F.col(_P).isNotNull()).groupBy(F.col(_P).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+        level = level.join(children, F.col(_K) == F.col("__of"), "left").withColumn("__children", F.coalesce("__n", F.lit(0).cast("bigint")))
+    level = level.withColumn("__matched", F.col(_M))
+    if filtered or t.aggregate:
+        level = staged(level.drop("__of", "__n"), "tree-level")
+    out = page(level, q, keys).select(*names, "__children", "__matched")
     sums = _subtrees(rows, level, valid, schema) if t.aggregate else None
-    return TreeResult(out, level, matches, orphans, sums)
+    return TreeResult(out, level, count, prepared.orphans, sums)
 
 
 def _subtrees(rows: DataFrame, level: DataFrame, valid: Valid, schema: Schema) -> DataFrame:
@@ -116,7 +140,7 @@ def _subtrees(rows: DataFrame, level: DataFrame, valid: Valid, schema: Schema) -
     return sums.unionByName(none).withColumnRenamed("top", t.key)
 
 
-def _flat(shown: DataFrame, valid: Valid, keys: list, names: list[str], matches: int, orphans: int) -> TreeResult:
+def _flat(shown: DataFrame, valid: Valid, keys: list, names: list[str], count: Callable[[], int], orphans: int) -> TreeResult:
     """Depth-first: a node's place is the list of ranks from its root down, and lists order as the tree is read."""
     q = valid.query
     ranked = staged(with_rank(shown, *keys, name="__rank"), "tree-ranked")
@@ -138,4 +162,4 @@ def _flat(shown: DataFrame, valid: Valid, keys: list, names: list[str], matches:
     if valid.filter is not None:
         all_rows = all_rows.withColumn("match", F.col(_M))
         extra.append("match")
-    return TreeResult(page(all_rows.orderBy("__place"), q).select(*names, *extra), all_rows, matches, orphans)
+    return TreeResult(page(all_rows, q, [F.col("__place").asc()]).select(*names, *extra), all_rows, count, orphans)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Any
 
 from lattice.errors import Invalid
-from lattice.types import Schema
+from lattice.types import INT64, UTF8, Schema, Type, literal
 
 GROUPABLE = ("utf8", "bool", "int64", "date")
 ROWS = "og_rows"
@@ -35,6 +35,76 @@ def operators(schema: Schema, name: str) -> list[str]:
     return ["eq", "ne", "lt", "lte", "gt", "gte", "in", "is_null", "is_not_null"]
 
 
+def typed(text: str, t: Type) -> Any:
+    """What a person types, as a literal of the column's type (of its elements, for lists); ValueError if it is none."""
+    text = text.strip()
+    element = {"list<utf8>": UTF8, "list<int64>": INT64}.get(t.kind, t)
+    if element.kind == "bool":
+        if text not in ("true", "1", "false", "0"):
+            raise ValueError(text)
+        return text in ("true", "1")
+    if element.kind in ("int64", "float64") and text not in ("NaN", "Infinity", "-Infinity"):
+        value = int(text) if element.kind == "int64" else float(text)
+    else:
+        value = text.removeprefix("+") if element.kind == "decimal" else text
+    try:
+        literal(value, element, "")
+    except Invalid as e:
+        raise ValueError(text) from e
+    return value
+
+
+def condition(schema: Schema, column: str, op: str, text: str = "") -> dict | None:
+    """One entry of a filter row; None for a column that isn't there and for a blank value of an operator that takes one."""
+    if schema.field(column) is None:
+        return None
+    if op in ("is_null", "is_not_null", "is_empty"):
+        return {"field": column, "op": op}
+    if not text.strip():
+        return None
+    t = schema.field(column).type
+    value = [typed(x, t) for x in text.split(",") if x.strip()] if op in ("has_all", "in") else typed(text, t)
+    return {"field": column, "op": op, "value": value}
+
+
+def filter_row(schema: Schema, entries: list[tuple[str, str, str]]) -> tuple[dict | None, list[tuple[str, str]]]:
+    """The filter of (column, operator, text) entries, all of which must hold, and the entries whose text is no value of their column."""
+    parts, problems = [], []
+    for column, op, text in entries:
+        try:
+            parts.append(condition(schema, column, op, text))
+        except ValueError:
+            problems.append((column, text))
+    parts = [p for p in parts if p is not None]
+    return (None if problems or not parts else {"and": parts}), problems
+
+
+def group(kind: str, members: list[Any]) -> Any:
+    """Members joined by "and" or "or": groups of the same kind are merged, a group of one is its member, none is no filter."""
+    flat = [x for m in members if m is not None for x in (m[kind] if set(m) == {kind} else [m])]
+    return None if not flat else flat[0] if len(flat) == 1 else {kind: flat}
+
+
+def check_tree(schema: Schema, f: Any) -> None:
+    """Invalid if a view's filter is more than groups of one member at least and conditions on known columns, without `not` and `in`."""
+    for kind in ("and", "or"):
+        if kind in f:
+            if not f[kind]:
+                raise Invalid("a group has no member", "FilterTree")
+            for m in f[kind]:
+                check_tree(schema, m)
+            return
+    if "not" in f or f.get("op") == "in":
+        raise Invalid(f"{'not' if 'not' in f else 'in'} is not part of a view's filter", "FilterTree")
+    if schema.field(f["field"]) is None:
+        raise Invalid(f"no column {f['field']}", "FilterTree")
+
+
+def facet_period(schema: Schema, field: str, low: str = "", high: str = "") -> dict | None:
+    """A facet's period or typed range, as text, with both ends in it; a blank end is open; ValueError for a bound that is no value."""
+    return both(condition(schema, field, "gte", low), condition(schema, field, "lte", high))
+
+
 def facet_filter(field: str, values: list | None = None, low: Any = None, high: Any = None) -> dict | None:
     """A facet's selection: chosen values (null among them as is_null), or a range with both ends in it."""
     if values is not None:

@@ -184,6 +184,7 @@ _query("srt_top_k", {"source": "orders", "select": ["o_orderkey", "o_totalprice"
 _query("srt_multi_key", {"source": "events", "select": ["event_id", "note", "score"], "sort": [{"field": "note", "nulls": "first"}, {"field": "score", "direction": "desc"}, {"field": "event_id"}], **_page}, "SELECT event_id, note, score FROM s ORDER BY note NULLS FIRST, score DESC NULLS LAST, event_id LIMIT 50 OFFSET 20")
 _query("srt_by_alias", {"source": "orders", "select": ["o_custkey", "total"], "group": ["o_custkey"], "aggregate": [{"fn": "sum", "field": "o_totalprice", "as": "total"}], "sort": [{"field": "total", "direction": "desc"}, {"field": "o_custkey"}], "limit": 25}, "SELECT o_custkey, sum(o_totalprice)::DECIMAL(38,2) AS total FROM s GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 25")
 _query("srt_past_the_end", {"source": "orders", "select": ["o_orderkey"], "sort": [{"field": "o_orderkey"}], "offset": 10_000_000, "limit": 10}, "SELECT o_orderkey FROM s WHERE FALSE")
+_query("srt_deep_offset", {"source": "lineitem", "select": ["l_orderkey", "l_linenumber", "l_extendedprice"], "sort": [{"field": "l_extendedprice", "direction": "desc"}, *({"field": f} for f in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))], "offset": 40_000, "limit": 25}, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM s ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25 OFFSET 40000")
 _query("srt_locale", {"source": "events", "select": ["event_id", "note"], "sort": [{"field": "note", "collation": "de"}, {"field": "event_id"}], "limit": 100}, "SELECT event_id, note FROM s ORDER BY note NULLS LAST, event_id LIMIT 100")
 
 
@@ -293,6 +294,10 @@ _query("uiq_totals", builders.totals("orders", [{"fn": "sum", "field": "o_totalp
 _query("uiq_window", builders.window("orders", ["o_orderkey", "o_totalprice"], [{"field": "o_totalprice"}, {"field": "o_orderkey"}], 100, 40), "SELECT o_orderkey, o_totalprice FROM s ORDER BY o_totalprice, o_orderkey LIMIT 40 OFFSET 100")
 _query("uiq_whole_view", builders.whole_view("orders", ["o_orderkey", "o_orderstatus"], ["o_orderstatus"], [{"field": "o_orderkey"}]), "SELECT o_orderkey, o_orderstatus FROM s")
 
+_query("uiq_filter_row", {"source": "events", "select": ["event_id"], "filter": builders.filter_row(_EVENTS, [("score", "gte", " 50 "), ("event_type", "icontains", "CLI"), ("note", "is_not_null", ""), ("flag", "eq", " "), ("gone", "eq", "1")])[0]}, "SELECT event_id FROM s WHERE score >= 50 AND contains(lower(event_type), 'cli') AND note IS NOT NULL")
+_query("uiq_filter_tree", {"source": "events", "select": ["event_id"], "filter": builders.group("or", [builders.condition(_EVENTS, "score", "lt", "20"), builders.group("and", [builders.condition(_EVENTS, "event_type", "eq", "view"), builders.condition(_EVENTS, "note", "is_null")])])}, "SELECT event_id FROM s WHERE score < 20 OR event_type = 'view' AND note IS NULL")
+_query("uiq_facet_period", {"source": "orders", "select": ["o_orderkey"], "filter": builders.facet_period(_ORDERS, "o_orderdate", "1996-01-01T00:00:00Z", "1996-06-30T23:59:59Z")}, "SELECT o_orderkey FROM s WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1996-06-30 23:59:59'")
+
 # Security.
 _policy = Policy(fields=("o_orderkey", "o_orderstatus", "o_totalprice"), row_filter=_leaf("o_custkey", "lt", {"context": "below"}), context={"below": 50})
 QUERIES["sec_row_filter"] = lambda spark, sf_dir: _whole(spark, sf_dir, {"source": "orders", "select": ["o_orderkey", "o_orderstatus"]}, orders=_policy)
@@ -305,3 +310,15 @@ QUERIES["exp_csv"] = lambda spark, sf_dir: export.csv_lines(_whole(spark, sf_dir
 ORACLES["exp_csv"] = _with("events", "SELECT concat_ws(',', event_id, event_type, CASE WHEN note = '' THEN '\"\"' ELSE coalesce(note, '') END, coalesce(score::VARCHAR, ''), coalesce(flag::VARCHAR, '')) AS line FROM s")
 QUERIES["exp_json"] = lambda spark, sf_dir: export.json_rows(_whole(spark, sf_dir, {"source": "orders", "select": ["o_orderkey", "o_totalprice", "o_orderdate"]}))
 ORACLES["exp_json"] = _with("orders", "SELECT '{\"o_orderkey\":' || o_orderkey || ',\"o_totalprice\":\"' || o_totalprice || '\",\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '\"}' AS line FROM s")
+QUERIES["exp_flat_tree"] = lambda spark, sf_dir: export.flat_columns(_whole_tree(spark, sf_dir, {"select": ["id", "name"], "tree": _TREE | {"flat": True}}).df)
+ORACLES["exp_flat_tree"] = f"WITH RECURSIVE s AS ({_SQL['nodes']}), f(id, name, path, level) AS (SELECT id, name, id, 0::BIGINT FROM s WHERE parent IS NULL UNION ALL SELECT s.id, s.name, f.path || ' / ' || s.id, f.level + 1 FROM f JOIN s ON s.parent = f.id) SELECT id, name, level, path FROM f"
+_by_status = {"source": "orders", "rows": ["o_orderpriority", "o_year"], "columns": ["o_orderstatus"], "values": _measures(("count", None, "n", None))}
+QUERIES["exp_pivot_csv"] = lambda spark, sf_dir: export.pivot_lines(engine(spark, sf_dir, "orders").pivot(_by_status))
+ORACLES["exp_pivot_csv"] = _with(
+    "orders",
+    """, g AS (SELECT o_orderpriority AS a, o_year AS y, 2 - grouping(o_orderpriority) - grouping(o_year) AS level,
+        concat_ws(',', count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus = 'O'), count(*) FILTER (o_orderstatus = 'P')) AS cells
+        FROM s GROUP BY GROUPING SETS ((o_orderpriority, o_year), (o_orderpriority), ()))
+    SELECT CASE level WHEN 0 THEN 'Total,' WHEN 1 THEN 'Total ' || a || ',' ELSE a || ',' || y END || ',' || cells AS line,
+        row_number() OVER (ORDER BY level = 0, a, level = 1, y) - 1 AS position FROM g""",
+)

@@ -240,3 +240,88 @@ def test_plans_push_filters_and_prune_columns(spark, tmp_path):
     df = e.execute({"source": "p", "select": ["k"], "filter": leaf("id", "gte", 50), "group": ["k"], "aggregate": [{"fn": "count", "as": "n"}]}).df
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(id,50)" in plan and "ReadSchema: struct<id:bigint,k:bigint>" in plan and "Cartesian" not in plan
+
+
+def test_trees_are_prepared_once(spark, monkeypatch):
+    from lattice import engine as module
+
+    e, calls = Engine(spark), []
+    e.register("t", spark.createDataFrame([(1, None), (2, 1), (3, 1)], "id long, parent_id long"))
+    prepare = module.prepare
+    monkeypatch.setattr(module, "prepare", lambda *a: calls.append(1) or prepare(*a))
+    level = lambda under: sorted(map(tuple, e.execute({"source": "t", "select": ["id"], "tree": {"parent": "parent_id", "under": under}}).df.collect()))
+    assert level(None) == [(1, 2, True)] and level(1) == [(2, 0, True), (3, 0, True)] and len(calls) == 1
+    e.register("t", spark.createDataFrame([(5, None)], "id long, parent_id long"))
+    assert level(None) == [(5, 0, True)] and len(calls) == 2
+
+
+def test_deep_offsets(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(30_000), unique=("id",))
+    q = {"source": "t", "select": ["id"], "sort": [{"field": "id", "direction": "desc"}], "limit": 3}
+    assert [r.id for r in e.execute(q | {"offset": 20_000}).df.collect()] == [9_999, 9_998, 9_997]
+    assert "TakeOrderedAndProject(limit=2000" not in e.execute(q | {"offset": 20_000}).df._jdf.queryExecution().toString()
+    assert e.execute(q | {"offset": 10**12}).df.count() == 0
+
+
+def test_pivot_sorts_come_from_one_pass(engine):
+    p = {"source": "orders", "rows": ["flag", "who"], "columns": ["year"], "values": [{"fn": "sum", "field": "qty", "as": "q"}, {"fn": "min", "field": "ratio", "as": "least"}], "sort": [{"field": "flag", "by": "q", "direction": "desc"}, {"field": "who", "by": "q"}]}
+    rows = [(r.flag, r.who) for r in engine.pivot(p).df.collect()]
+    assert rows == [(True, "a"), (True, "ä"), (True, "z"), (True, None), (False, "a"), (False, ""), (False, None), (None, None), (None, None), (None, None)]
+
+
+def test_nan_and_negative_shares(spark):
+    e = Engine(spark)
+    e.register("t", spark.createDataFrame([("a", "x", 1.0), ("a", "y", -1.0), ("b", "x", float("nan")), ("b", "y", 2.0)], "r string, c string, v double"))
+    share = lambda calc, f: [tuple(r) for r in e.pivot({"source": "t", "rows": ["r"], "columns": ["c"], "values": [{"fn": "sum", "field": "v", "as": "s", "calc": calc}], "filter": f}).df.collect()]
+    a = leaf("r", "eq", "a")
+    assert share("share_of_row", a) == [("a", None, None, 1), (None, None, None, 0)]  # a total of zero has no shares
+    assert share("share_of_column", a) == [("a", 1.0, 1.0, 1), (None, 1.0, 1.0, 0)]
+    rows = share("share_of_row", {"and": []})
+    assert rows[1][1] != rows[1][1] and rows[1][2] != rows[1][2]  # NaN
+
+
+def test_least_and_greatest_under_two_columns(engine):
+    r = engine.pivot({"source": "orders", "columns": ["flag", "year"], "values": [{"fn": "min", "field": "amount", "as": "lo"}, {"fn": "max", "field": "who", "as": "hi"}]})
+    assert [c["path"] for c in r.columns if c["measure"] == "lo"] == [[False, 2025], [False, 2026], [True, 2025], [True, 2026], [None, None]]
+    row = r.df.first()
+    assert (str(row.lo_0), row.hi_0, str(row.lo_3), row.hi_3, row.lo_4, row.hi_4) == ("0.00", "a", "-12345.67", "ä", None, None)
+
+
+def test_context_never_crosses_the_scope(engine):
+    r = _tree(engine, filter=leaf("name", "eq", "deep"), tree={"scope": leaf("id", "ne", 2)})
+    assert [tuple(x) for x in r.df.collect()] == [(4, 1, False)]  # node 2 is out of scope, so 4 is a root there
+
+
+def test_files_of_results(engine, spark, tmp_path):
+    read = lambda p: next((tmp_path / p).glob("part-*")).read_bytes().decode()
+    df = engine.sources["orders"].df
+    assert export.write_csv(df.select("id", "who"), str(tmp_path / "c"), order=[F.col("id").desc()]) == 6
+    assert read("c") == "\ufeffid,who\r\n6,a\r\n5,z\r\n4,ä\r\n3,\r\n2,\"\"\r\n1,a\r\n"
+    export.write_json(df.select("id", "amount"), str(tmp_path / "j"), order=[F.col("id")])
+    import json
+
+    assert json.loads(read("j"))[:2] == [{"id": 1, "amount": "1.10"}, {"id": 2, "amount": "2.20"}]
+    export.write_json(df.select("id").limit(0), str(tmp_path / "e"))
+    assert json.loads(read("e")) == []
+    p = engine.pivot({"source": "orders", "rows": ["flag", "who"], "columns": ["year"], "values": [{"fn": "count", "as": "n", "calc": "share_of_total"}], "filter": leaf("flag", "eq", False)})
+    export.write_pivot_csv(p, str(tmp_path / "p"), export.CsvFormat(bom=False))
+    assert read("p").split("\r\n") == ["flag,who,2025 · n · share of total,2026 · n · share of total", "false,(empty),0.0,0.5", "false,a,0.5,0.0", "Total false,,0.5,0.5", "Total,,0.5,0.5", ""]
+    wire = export.pivot_to_wire(p)
+    assert wire["levels"] == [2, 2, 1, 0] and wire["row_dimensions"] == ["flag", "who"] and [c["name"] for c in wire["result"]["columns"]] == ["flag", "who", "n_0", "n_1"]
+    for write in (lambda: export.to_wire(df, 6, at_most=5), lambda: export.write_csv(df, str(tmp_path / "x"), at_most=5)):
+        with pytest.raises(LimitExceeded):
+            write()
+
+
+def test_typed_filters():
+    f, wrong = builders.filter_row(ORDERS, [("qty", "gt", "x"), ("amount", "gte", "1.5"), ("flag", "eq", "maybe")])
+    assert f is None and wrong == [("qty", "x"), ("flag", "maybe")]
+    assert builders.filter_row(ORDERS, [("tags", "has_all", "x, y,"), ("flag", "eq", "1"), ("who", "eq", " ")])[0] == {"and": [leaf("tags", "has_all", ["x", "y"]), leaf("flag", "eq", True)]}
+    assert builders.filter_row(ORDERS, []) == (None, [])
+    one = leaf("qty", "gt", 1)
+    assert builders.group("or", [{"or": [one, one]}, None, {"and": [one]}]) == {"or": [one, one, {"and": [one]}]} and builders.group("and", [one]) == one
+    builders.check_tree(ORDERS, {"or": [one, {"and": [one]}]})
+    for bad in ({"and": []}, {"not": one}, leaf("qty", "in", [1]), leaf("none", "eq", 1)):
+        with pytest.raises(Invalid):
+            builders.check_tree(ORDERS, {"or": [bad]})

@@ -6,7 +6,7 @@ import pytest
 from lattice import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["flagship_pivot", "agg_group", "flt_has_all", "srt_multi_key", "tree_flat", "exp_csv", "sec_pivot"]
+NAMES = ["flagship_pivot", "agg_group", "flt_has_all", "srt_multi_key", "tree_flat", "exp_csv", "sec_pivot", "exp_flat_tree", "exp_pivot_csv", "uiq_filter_row", "uiq_filter_tree", "uiq_facet_period"]
 
 
 @pytest.mark.parametrize("name", NAMES)
