@@ -184,7 +184,7 @@ _query("srt_top_k", {"source": "orders", "select": ["o_orderkey", "o_totalprice"
 _query("srt_multi_key", {"source": "events", "select": ["event_id", "note", "score"], "sort": [{"field": "note", "nulls": "first"}, {"field": "score", "direction": "desc"}, {"field": "event_id"}], **_page}, "SELECT event_id, note, score FROM s ORDER BY note NULLS FIRST, score DESC NULLS LAST, event_id LIMIT 50 OFFSET 20")
 _query("srt_by_alias", {"source": "orders", "select": ["o_custkey", "total"], "group": ["o_custkey"], "aggregate": [{"fn": "sum", "field": "o_totalprice", "as": "total"}], "sort": [{"field": "total", "direction": "desc"}, {"field": "o_custkey"}], "limit": 25}, "SELECT o_custkey, sum(o_totalprice)::DECIMAL(38,2) AS total FROM s GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 25")
 _query("srt_past_the_end", {"source": "orders", "select": ["o_orderkey"], "sort": [{"field": "o_orderkey"}], "offset": 10_000_000, "limit": 10}, "SELECT o_orderkey FROM s WHERE FALSE")
-_query("srt_deep_offset", {"source": "lineitem", "select": ["l_orderkey", "l_linenumber", "l_extendedprice"], "sort": [{"field": "l_extendedprice", "direction": "desc"}, *({"field": f} for f in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))], "offset": 40_000, "limit": 25}, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM s ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25 OFFSET 40000")
+_query("srt_deep_offset", {"source": "lineitem", "select": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "sort": [{"field": "l_extendedprice", "direction": "desc"}, *({"field": f} for f in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))], "offset": 40_000, "limit": 25}, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM s ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25 OFFSET 40000")
 _query("srt_locale", {"source": "events", "select": ["event_id", "note"], "sort": [{"field": "note", "collation": "de"}, {"field": "event_id"}], "limit": 100}, "SELECT event_id, note FROM s ORDER BY note NULLS LAST, event_id LIMIT 100")
 
 
