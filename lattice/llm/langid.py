@@ -7,8 +7,8 @@ over all rows. A host's prior is smoothed towards its domain's, a domain's towar
 contribution is taken out of its host's counts first. One more class, "und", stands for text that no language explains (the same
 for every trigram); a row is accepted if a language is likelier than it.
 
-Trigram tables are fitted on a bounded sample of labelled rows (SAMPLE, expected; at most twice that many), all else is
-computed over every row. Only evidence travels: texts are scored where they lie, and rows of a hot host, suffix or declaration
+Languages are the labels, counted over all rows (the LANGUAGES commonest). Trigram tables are fitted on a bounded sample of texts
+of each (SAMPLE, expected), all else is computed over every row. Only evidence travels: texts are scored where they lie, and rows of a hot host, suffix or declaration
 find its counts by a broadcast of the few heavy keys.
 
 Null or empty texts have no text evidence; with no other they are accepted under the commonest language, as nothing
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from lattice.llm.common import lookup, ship, staged
 
-SAMPLE = 2000  # labelled rows that the trigram tables are fitted on
+SAMPLE = 500  # distinct texts of each language that the trigram tables are fitted on
+LANGUAGES = 128  # classes at most: a column of 2**16 numbers each in every worker
 _BITS = 16
 _EFFECTIVE = 60.0
 _KAPPA_HOST, _KAPPA_DOMAIN, _KAPPA_SUFFIX = 8.0, 20.0, 10.0
@@ -65,13 +66,11 @@ class TextModel:
         self.langs, self.weights = langs, weights
 
     @classmethod
-    def fit(cls, rows: Sequence[tuple[str, str]]) -> TextModel:
-        langs = sorted({lang for _, lang in rows})
+    def of(cls, langs: list[str], counts: np.ndarray) -> TextModel:
+        """From how often each trigram occurs in the sample: a row a trigram, a column a language."""
         w = np.full((1 << _BITS, len(langs) + 1), _UND, np.float32)
-        for i, lang in enumerate(langs):
-            h, _ = _trigrams([t for t, x in rows if x == lang])
-            n = np.bincount(h, minlength=1 << _BITS) + 0.02
-            w[:, i] = np.maximum(np.log(n / n.sum()), _FLOOR)
+        n = counts + 0.02
+        w[:, :-1] = np.maximum(np.log(n / n.sum(axis=0)), _FLOOR)
         return cls(langs, w)
 
     def score(self, texts: Sequence[str]) -> np.ndarray:
@@ -95,14 +94,37 @@ class TextModel:
         return np.concatenate(out) if out else np.zeros((0, self.weights.shape[1]))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Fit on about `sample` rows with a label and a text, chosen by a hash of their content."""
-    rows = labelled.select(F.col(text).alias("t"), F.lower(lang).alias("l"))
-    rows = rows.where(F.col("t").isNotNull() & (F.col("t") != "") & F.col("l").isNotNull())
-    total = labelled.select(lang).where(F.col(lang).isNotNull()).count()
-    share = F.pmod(F.xxhash64("t", "l"), F.lit(1 << 30)) < int(min(1.0, sample / max(1, total)) * (1 << 30))
-    chosen = [(r[0], r[1]) for r in rows.where(share).limit(2 * sample).collect()]
-    return TextModel.fit(sorted(chosen))
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES) -> TextModel:
+    """Fit on about `sample` distinct texts of each language, chosen by a hash of the text, so that copies count once.
+
+    Which languages there are, and how many texts each has, is counted over all rows with a label and a text; of more labels than
+    `languages` the commonest are classes. Trigrams are counted where the texts lie: the driver gets counts, never texts.
+    """
+    import pyarrow as pa
+
+    spark = labelled.sparkSession
+    ship(spark)
+    rows = labelled.select(F.col(text).alias("t"), F.lower(lang).alias("l")).where("t <> '' AND l <> ''")
+    texts = rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n"))
+    sizes = sorted((r[0], r[1]) for r in texts.orderBy(F.desc("n"), "l").limit(languages).collect())
+    langs = [x for x, _ in sizes]
+    counts = np.zeros((1 << _BITS, len(langs)))
+    if not langs:
+        return TextModel.of(langs, counts)
+    shares = [(x, i, min(1 << 30, (sample << 30) // max(1, n))) for i, (x, n) in enumerate(sizes)]
+    shares = F.broadcast(spark.createDataFrame(shares, "l string, i int, below long"))
+    chosen = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("below")).select("i", "t").distinct()
+
+    def trigrams(batches):
+        for b in batches:
+            for i, t in zip(b[0].to_pylist(), b[1], strict=True):
+                h, n = np.unique(_trigrams([t.as_py()])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int32)), pa.array(h.astype(np.int32)), pa.array(n.astype(np.int64))], names=["i", "h", "n"])
+
+    found = chosen.mapInArrow(trigrams, "i int, h int, n long").groupBy("i", "h").agg(F.sum("n").alias("n")).toArrow()
+    i, h, n = (found[c].to_numpy() for c in ("i", "h", "n"))
+    counts[h, i] = n
+    return TextModel.of(langs, counts)
 
 
 def host_of(url: Column) -> Column:

@@ -93,6 +93,19 @@ def test_host_and_markup_decide_where_text_does_not(spark):
     assert langid.identify(spark, langid.page_rows(spark.createDataFrame([], "page_id long, url string, html string")), model).count() == 0
 
 
+def test_rare_languages_have_a_class_and_copies_count_once(spark):
+    rare = "ja nie mam pod przed który się dlaczego"
+    rows = [(i, f"the {i} and of this", "EN") for i in range(3000)] + [(9000 + i, "der und das nicht", "de") for i in range(1500)] + [(1, rare, "pl"), (2, rare, "pl"), (3, "", "xx"), (4, None, "yy"), (5, "z", None), (6, "z", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en", "pl"]
+    once = spark.createDataFrame([(1, rare, "pl"), (2, "der und das nicht", "de")], "doc_id long, text string, lang string")
+    assert (langid.fit(once).weights[:, :2] == model.weights[:, [0, 2]]).all()
+    assert langid.fit(docs, languages=1).langs == ["en"] and (langid.fit(docs, sample=10).weights[:, 1] > langid._FLOOR).sum() >= 10
+    got = langid.identify(spark, langid.document_rows(docs.withColumn("lang", F.lit(None).cast("string")).where("doc_id < 3"), F.col("doc_id")), model)
+    assert {r.lang for r in got.where("doc_id = 2").collect()} == {"en", "pl"}
+
+
 def test_no_labels_at_all(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     model = langid.fit(empty)
