@@ -70,7 +70,7 @@ class TextModel:
         """From how often each trigram occurs in the sample: a row a trigram, a column a language."""
         w = np.full((1 << _BITS, len(langs) + 1), _UND, np.float32)
         n = counts + 0.02
-        w[:, :-1] = np.maximum(np.log(n / n.sum(axis=0)), _FLOOR)
+        w[:, :-1] = np.where(counts > 0, np.maximum(np.log(n / n.sum(axis=0)), _FLOOR), _FLOOR)  # also where the sample is small
         return cls(langs, w)
 
     def score(self, texts: Sequence[str]) -> np.ndarray:
