@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lattice import runtime
 from lattice.runtime import discard, new_path, scratch
 
-__all__ = ["WORD", "arrow_schema", "columns_only", "discard", "lookup", "lookup_wide", "new_path", "ranked", "rows_out", "scratch", "ship", "staged", "text_of", "width"]
+__all__ = ["WORD", "arrow_schema", "columns_only", "discard", "given", "lookup", "lookup_wide", "new_path", "ranked", "rows_out", "scratch", "ship", "staged", "text_of", "width"]
 
 #: Words of every operator that counts words: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +48,16 @@ def staged(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return runtime.staged(df, label)
 
 
+def given(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few rows of the driver's as a table, by way of Arrow: lists of rows would start Python workers of their own, which stay."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = to_arrow_schema(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, fields, strict=True)], schema=fields), schema)
+
+
 def width(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -72,7 +82,7 @@ def lookup_wide(left: DataFrame, right: DataFrame, key: str, weight: str, at_mos
     total = right.agg(F.sum(weight)).first()[0] or 1
     heaviest = right.where(F.col(key).isNotNull()).orderBy(F.desc(weight), key).limit(at_most).select(key, weight).collect()
     copies = [(k, max(1, -(-w * parts // total))) for k, w in heaviest]
-    heavy = F.broadcast(spark.createDataFrame(copies, T.StructType([T.StructField("__h", right.schema[key].dataType), T.StructField("__copies", T.IntegerType())])))
+    heavy = F.broadcast(given(spark, copies, T.StructType([T.StructField("__h", right.schema[key].dataType), T.StructField("__copies", T.IntegerType())])))
     copied = right.join(heavy, F.col(key) == F.col("__h"), "left")
     copied = copied.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))).drop("__h", "__copies")
     dealt = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.col("__copies")).cast("int"), F.lit(0))

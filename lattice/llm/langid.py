@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattice.llm.common import lookup, ship, staged
+from lattice.llm.common import arrow_schema, given, lookup, ship, staged
 
 SAMPLE = 500  # distinct texts of each language that the trigram tables are fitted on
 LANGUAGES = 128  # classes at most: a column of 2**16 numbers each in every worker
@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     if not langs:
         return TextModel.of(langs, counts)
     shares = [(x, i, min(1 << 30, (sample << 30) // max(1, n))) for i, (x, n) in enumerate(sizes)]
-    shares = F.broadcast(spark.createDataFrame(shares, "l string, i int, below long"))
+    shares = F.broadcast(given(spark, shares, arrow_schema("l string, i int, below long")))
     chosen = rows.join(shares, "l").where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.col("below")).select("i", "t").distinct()
 
     def trigrams(batches):
